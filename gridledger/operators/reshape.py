@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridledger.functions.numbers import total_or_0
 from gridledger.functions.text import joined_cells
 
 # The largest answer text handed on, and the advice beyond it.
@@ -57,3 +58,13 @@ def translate_codes(frame: DataFrame, glossary: DataFrame, code: str, label: str
     return frame.join(entries, code, "left").withColumn(
         label, F.coalesce("_d", F.col(code))
     ).drop("_d")
+
+
+def horizon_sums(records: DataFrame, member_column: str, member: str, field: str) -> DataFrame:
+    """Chart of one member: stored delta records added up per horizon, in label order."""
+    return (
+        records.filter(F.col(member_column) == member)
+        .groupBy("HORIZON")
+        .agg(total_or_0(field).alias(field))
+        .orderBy("HORIZON")
+    )

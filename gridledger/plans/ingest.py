@@ -46,9 +46,7 @@ def ingest_folder(
     clean, junk = quality.strict_load(rows, spec)
     rejected = junk if rejected is None else rejected.unionByName(junk)
 
-    rejected.withColumn("category", F.lit(spec.category)).write.mode("append").parquet(
-        store.path("rejected")
-    )
+    tables.write_rejected(rejected, spec.category, store.path("rejected"))
     tables.append_raw(clean, spec.category, store.path("positions"))
     if spec.category == PW.category:
         refresh_snapshots(spark, store, clean.select("REPORT_DATE").distinct())

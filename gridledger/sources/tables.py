@@ -14,26 +14,34 @@ from gridledger.operators.files import ingest_entries
 from gridledger.specs import FeedSpec
 
 
+def _replace_partitions(rows: DataFrame, keys: list[str], path: str) -> None:
+    """Write rows, replacing exactly the partitions they belong to."""
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*keys)
+        .parquet(path)
+    )
+
+
 def append_raw(rows: DataFrame, category: str, path: str) -> None:
-    """Append positions to the raw table, partitioned by commodity and report date.
+    """Add the files' positions to the raw table, partitioned by commodity, date and file.
 
-    Rows are laid out by report date and a hash of the file so that a date with much data is
-    written by several tasks.
+    A file that is loaded again replaces its own partitions, so a job that failed half way can
+    simply be rerun. Every scan task writes the rows it read; nothing is shuffled, and a very
+    large file is written by as many tasks as read it.
     """
-    spread = rows.withColumn("category", F.lit(category))
-    if "file_name" in rows.columns:
-        spread = spread.repartition("REPORT_DATE", "file_name")
-    spread.write.mode("append").partitionBy("category", "REPORT_DATE").parquet(path)
+    _replace_partitions(
+        rows.withColumn("category", F.lit(category)),
+        ["category", "REPORT_DATE", "file_name"],
+        path,
+    )
 
 
-def replace_raw(rows: DataFrame, category: str, path: str) -> None:
-    """Write positions, replacing the (commodity, report date) partitions they belong to."""
-    (
-        rows.withColumn("category", F.lit(category))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("category", "REPORT_DATE")
-        .parquet(path)
+def write_rejected(rows: DataFrame, category: str, path: str) -> None:
+    """Keep the raw rows of rejected files, by commodity and file."""
+    _replace_partitions(
+        rows.withColumn("category", F.lit(category)), ["category", "file_name"], path
     )
 
 
@@ -44,13 +52,11 @@ def read_raw(spark: SparkSession, path: str, spec: FeedSpec) -> DataFrame:
 
 def upsert_snapshot(cube: DataFrame, category: str, path: str) -> None:
     """Replace the snapshot of every (commodity, report date) found in the cube."""
-    (
-        cube.withColumn("category", F.lit(category))
-        .repartition("REPORT_DATE", "view")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("category", "REPORT_DATE")
-        .parquet(path)
+    # Rebalancing gathers a date's rows into few files and still splits an oversized date.
+    _replace_partitions(
+        cube.withColumn("category", F.lit(category)).hint("rebalance", "REPORT_DATE"),
+        ["category", "REPORT_DATE"],
+        path,
     )
 
 
@@ -75,8 +81,8 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_file_stats(documents: DataFrame, path: str) -> None:
-    """Append statistics records of files (see `stats_documents`)."""
-    documents.write.mode("append").parquet(path)
+    """Store statistics records of files (see `stats_documents`), replacing those of a rerun."""
+    _replace_partitions(documents, ["file_name"], path)
 
 
 def save_metadata(schema_rows: DataFrame, file_name: str, key: str, path: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridledger.functions.text import feed_of_name, route_feed
 from gridledger.operators import cube
-from gridledger.operators.quality import coerce_measures
+from gridledger.operators.quality import strict_load
 from gridledger.plans.ingest import Store
 from gridledger.sources import tables
 from gridledger.sources.feeds import CSV_FILES
@@ -18,16 +18,16 @@ from gridledger.specs import PW, FeedSpec
 def feed_stream(
     spark: SparkSession, uri: str, spec: FeedSpec, columns: list[str] | None = None
 ) -> DataFrame:
-    """New CSV files of one commodity as typed rows. `columns` is the header they share."""
+    """New CSV files of one commodity as text rows. `columns` is the header they share."""
     names = columns or list(spec.columns)
-    raw = (
+    return (
         spark.readStream.schema(", ".join(f"`{n}` string" for n in names))
         .option("header", True)
         .option("pathGlobFilter", CSV_FILES)
         .csv(uri)
         .select("*", F.col("_metadata.file_name").alias("file_name"))
+        .filter(route_feed("file_name") == spec.category)
     )
-    return coerce_measures(raw.filter(route_feed("file_name") == spec.category), spec)
 
 
 def stream_ingest(
@@ -37,17 +37,24 @@ def stream_ingest(
     store: Store,
     columns: list[str] | None = None,
 ) -> StreamingQuery:
-    """Append files that arrived since the last run to the raw table, each exactly once.
+    """Add files that arrived since the last run to the raw table.
 
-    The stream's checkpoint remembers the files seen, which replaces a processed flag.
+    The stream's checkpoint remembers the files seen, which replaces a processed flag. A file
+    is never split over batches and replaces its own partitions, so a replayed batch leaves
+    the table unchanged.
     """
-    rows = feed_stream(spark, uri, spec, columns).withColumn("category", F.lit(spec.category))
+
+    def load(batch: DataFrame, _: int) -> None:
+        clean, junk = strict_load(batch, spec)
+        tables.append_raw(clean, spec.category, store.path("positions"))
+        tables.write_rejected(junk, spec.category, store.path("rejected"))
+
     return (
-        rows.writeStream.trigger(availableNow=True)
+        feed_stream(spark, uri, spec, columns)
+        .writeStream.trigger(availableNow=True)
         .option("checkpointLocation", store.path(f"checkpoints/ingest_{spec.category}"))
-        .partitionBy("category", "REPORT_DATE")
-        .format("parquet")
-        .start(store.path("positions"))
+        .foreachBatch(load)
+        .start()
     )
 
 
