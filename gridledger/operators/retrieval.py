@@ -22,9 +22,15 @@ def _not_blank(docs: DataFrame, text: str) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, tf). Whole texts are read; equal tokens of a text are combined map side."""
+    """(key, token, tf) over whole texts.
+
+    Texts are laid out by key before they are cut up: a text is several times smaller than its
+    (key, token) rows, and the counts of a text then need no shuffle of their own.
+    """
     return (
-        docs.select(key, F.explode(tokens(F.col(text))).alias("token"))
+        docs.select(key, text)
+        .repartition(key)
+        .select(key, F.explode(tokens(F.col(text))).alias("token"))
         .groupBy(key, "token")
         .agg(F.count("*").alias("tf"))
     )
@@ -33,17 +39,16 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
 def inverse_frequencies(counts: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(token, idf) with idf = ln((1 + n) / (1 + df)) + 1."""
     n_docs = _not_blank(docs, text).agg(F.count("*")).scalar()
-    # Written over `tf` so that this reads the same columns as the vectors do and Spark can
-    # reuse the shuffled counts instead of tokenizing every text again.
-    df = F.sum(F.least("tf", F.lit(1)))
-    return counts.groupBy("token").agg(df.alias("df")).select(
+    return counts.groupBy("token").agg(F.count("*").alias("df")).select(
         "token", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")
     )
 
 
 def _unit_vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    # The window covers the distinct tokens of one text, never a whole token's postings.
-    weighted = counts.join(idf, "token").select(
+    # A token occurs once in `idf`, so its part of a shuffled join is small and can be hashed;
+    # the large side is then not sorted by text. The window covers the distinct tokens of one
+    # text, never a whole token's postings.
+    weighted = counts.join(idf.hint("shuffle_hash"), "token").select(
         key, "token", (F.col("tf") * F.col("idf")).alias("raw")
     )
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))
@@ -88,17 +93,19 @@ def nearest(
         .select(question_key, key, (2 - 2 * F.col("dot")).alias("distance"))
     )
 
-    filled = _not_blank(docs, text).withColumn("empty", F.size(tokens(F.col(text))) == 0)
-    empties = filled.filter("empty").orderBy(key).limit(k)
-    others = filled.filter(~F.col("empty")).orderBy(key).limit(2 * k)
-    spare = empties.unionByName(others).agg(
-        F.collect_list(
-            F.struct(
-                F.col(key).alias("spare_key"),
-                F.when(F.col("empty"), 1.0).otherwise(2.0).alias("far"),
+    has_token = F.col(text).rlike(TOKEN)
+    spare = (
+        _not_blank(docs, text)
+        .select(F.col(key).alias("spare_key"), has_token.alias("has_token"))
+        .withColumn("pos", F.row_number().over(W.partitionBy("has_token").orderBy("spare_key")))
+        .filter(F.col("pos") <= 2 * k)
+        .agg(
+            F.collect_list(
+                F.struct("spare_key", F.when(F.col("has_token"), 2.0).otherwise(1.0).alias("far"))
             )
         )
-    ).scalar()
+        .scalar()
+    )
     unrelated = (
         asked.select(question_key)
         .distinct()

@@ -54,7 +54,7 @@ def ingest_folder(
     tables.write_file_stats(
         stats.stats_documents(file_statistics(loaded, spec)), store.path("file_stats")
     )
-    tables.log_ingest(clean, store.path("data_files"))
+    tables.log_ingest(clean, spec.category, store.path("data_files"))
     return {"loaded": clean, "rejected": rejected}
 
 

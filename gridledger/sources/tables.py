@@ -60,9 +60,9 @@ def upsert_snapshot(cube: DataFrame, category: str, path: str) -> None:
     )
 
 
-def log_ingest(rows: DataFrame, path: str) -> None:
+def log_ingest(rows: DataFrame, category: str, path: str) -> None:
     """Append one log entry per loaded file."""
-    entries = ingest_entries(rows).withColumns(
+    entries = ingest_entries(rows.withColumn("category", F.lit(category))).withColumns(
         {"is_processed": F.lit(1), "uploaded_at": F.current_timestamp()}
     )
     entries.write.mode("append").parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridledger import specs
 from gridledger.functions import text
 from gridledger.functions.dates import extract_date, iso_date
-from gridledger.operators import agents, feedback, files, prompts, quality, retrieval
+from gridledger.operators import agents, delta, feedback, files, prompts, quality, retrieval
 from gridledger.plans import adhoc
 from gridledger.sources import star
 from workload.registry import dsum_null, query, round2
@@ -220,22 +220,21 @@ def validate_schema(spark, sf):
 
 @query(
     "column_differences",
-    """(SELECT 'only_first' AS side, BOOK, SEGMENT, HORIZON FROM
-          (SELECT BOOK, SEGMENT, HORIZON FROM fx_ng WHERE REPORT_DATE = DATE '2001-10-01'
-           EXCEPT SELECT BOOK, SEGMENT, HORIZON FROM fx_ng WHERE REPORT_DATE = DATE '2001-11-01'))
-       UNION ALL
-       (SELECT 'only_second', BOOK, SEGMENT, HORIZON FROM
-          (SELECT BOOK, SEGMENT, HORIZON FROM fx_ng WHERE REPORT_DATE = DATE '2001-11-01'
-           EXCEPT SELECT BOOK, SEGMENT, HORIZON FROM fx_ng WHERE REPORT_DATE = DATE '2001-10-01'))""",
+    """WITH d AS (SELECT DISTINCT REPORT_DATE AS dt FROM fx_pw ORDER BY dt DESC LIMIT 2),
+       p AS (SELECT MAX(dt) AS latest, MIN(dt) AS previous FROM d),
+       cur AS (SELECT DISTINCT BOOK, BOOK_ATTR8 FROM fx_pw, p WHERE REPORT_DATE = latest),
+       prev AS (SELECT DISTINCT BOOK, BOOK_ATTR8 FROM fx_pw, p WHERE REPORT_DATE = previous)
+       SELECT 'only_latest' AS side, * FROM (SELECT * FROM cur EXCEPT SELECT * FROM prev)
+       UNION ALL SELECT 'only_previous', * FROM (SELECT * FROM prev EXCEPT SELECT * FROM cur)""",
 )
 def column_differences(spark, sf):
-    keys = ["BOOK", "SEGMENT", "HORIZON"]
-    gas = star.gas_positions(spark, sf)
-    october = gas.filter("REPORT_DATE = DATE '2001-10-01'").select(*keys)
-    november = gas.filter("REPORT_DATE = DATE '2001-11-01'").select(*keys)
-    first, second = quality.column_differences(october, november)
-    return first.select(F.lit("only_first").alias("side"), *keys).unionByName(
-        second.select(F.lit("only_second").alias("side"), *keys)
+    keys = ["BOOK", "BOOK_ATTR8"]
+    rows, is_latest, is_previous = delta.last_two(star.power_positions(spark, sf))
+    first, second = quality.column_differences(
+        rows.filter(is_latest).select(*keys), rows.filter(is_previous).select(*keys)
+    )
+    return first.select(F.lit("only_latest").alias("side"), *keys).unionByName(
+        second.select(F.lit("only_previous").alias("side"), *keys)
     )
 
 

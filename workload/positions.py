@@ -653,21 +653,24 @@ def size_guard(spark, sf):
 
 @query(
     "translate_codes",
-    f"""SELECT BOOK, concat('Country ', n.n_nationkey) AS label, CAST(COUNT(*) AS BIGINT) AS n_rows
-        FROM fx_pw LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON BOOK = n.n_name
-        WHERE n.n_name IS NOT NULL GROUP BY 1, 2
-        UNION ALL SELECT BOOK, BOOK, CAST(COUNT(*) AS BIGINT) FROM fx_pw
-        WHERE BOOK NOT IN (SELECT n_name FROM nation WHERE n_nationkey < 20) GROUP BY 1, 2""",
+    """WITH c AS (SELECT BOOK AS code, CAST(COUNT(*) AS BIGINT) AS n_rows FROM fx_pw GROUP BY 1
+               UNION ALL SELECT SEGMENT, CAST(COUNT(*) AS BIGINT) FROM fx_pw GROUP BY 1)
+       SELECT code, n_rows, COALESCE('Country ' || n.n_nationkey, code) AS label
+       FROM c LEFT JOIN nation n ON code = n.n_name""",
 )
 def translate_codes(spark, sf):
-    codes = star.power_positions(spark, sf).groupBy("BOOK").agg(F.count("*").alias("n_rows"))
-    return reshape.translate_codes(codes, _glossary(spark, sf), "BOOK", "label")
+    # Books are nations and have an entry; segments have none and keep their code.
+    positions = star.power_positions(spark, sf)
+    codes = [
+        positions.groupBy(F.col(c).alias("code")).agg(F.count("*").alias("n_rows"))
+        for c in ("BOOK", "SEGMENT")
+    ]
+    both = codes[0].unionByName(codes[1])
+    return reshape.translate_codes(both, _glossary(spark, sf), "code", "label")
 
 
 def _glossary(spark, sf):
-    # Five nations have no entry, so that codes without a label occur.
-    nation = star.table(spark, sf, "nation").filter("n_nationkey < 20")
-    return nation.select(
+    return star.table(spark, sf, "nation").select(
         F.col("n_name").alias("context_name"),
         F.concat(F.lit("Country "), F.col("n_nationkey").cast("string")).alias("description"),
     )
@@ -675,7 +678,7 @@ def _glossary(spark, sf):
 
 @query(
     "glossary_text",
-    "SELECT concat(n_name, ': ', 'Country ', n_nationkey) AS line FROM nation WHERE n_nationkey < 20",
+    "SELECT concat(n_name, ': ', 'Country ', n_nationkey) AS line FROM nation",
 )
 def glossary_text(spark, sf):
     return reshape.glossary_text(_glossary(spark, sf))
