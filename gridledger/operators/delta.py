@@ -268,15 +268,16 @@ def top_movers_all(
     cells = compare_reports(positions, keys, [measure]).select(
         *keys, _delta(measure).alias("delta"), "in_latest", "in_previous"
     )
-    in_both = (
-        compare_reports(positions.filter(F.col("HORIZON").isNotNull()), [member], [])
-        .filter(F.col("in_latest") & F.col("in_previous"))
-        .select(member)
+    # One row per (member, horizon): a member's reports are read off its few cells.
+    own = W.partitionBy(member)
+    cells = cells.withColumn(
+        "in_both", F.max("in_latest").over(own) & F.max("in_previous").over(own)
     )
+    in_both = cells.filter("in_both").select(member).distinct()
     fillers = (
         in_both.orderBy(member).limit(2 * k).agg(F.collect_list(member).alias("names"))
     )
-    observed = cells.join(in_both, member, "left_semi").select("HORIZON", member, "delta")
+    observed = cells.filter("in_both").select("HORIZON", member, "delta")
     filled = (
         cells.select("HORIZON")
         .distinct()

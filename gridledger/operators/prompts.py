@@ -34,20 +34,16 @@ def select_metrics(
         for key, metric in spec.metric_catalog.items()
         if available is None or metric in available
     ]
-    catalog = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("ord"),
-                F.lit(key).alias("name"),
-                F.lit(metric).alias("metric"),
-                F.lit(key.lower().replace("_", "")).alias("squeezed"),
-            )
-            for i, (key, metric) in enumerate(offered)
-        ]
-    )
     asked = text.squeezed(column)
-    named = F.filter(
-        catalog, lambda m: (m["ord"] == 0) | F.contains(asked, m["squeezed"])
-    )
+
+    def entry(i: int, key: str, metric: str):
+        cell = F.struct(
+            F.lit(i).alias("ord"), F.lit(key).alias("name"), F.lit(metric).alias("metric")
+        )
+        named = asked.contains(key.lower().replace("_", ""))
+        return cell if i == 0 else F.when(named, cell)
+
+    # A null question still gets the first metric; its other tests are null and drop out.
+    named = F.array_compact(F.array(*[entry(i, *pair) for i, pair in enumerate(offered)]))
     rows = prompts.withColumn("m", F.explode(named))
     return rows.select(*prompts.columns, "m.ord", "m.name", "m.metric")

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.functions.dates import parse_date_dayfirst, parse_report_date
 from gridledger.operators import cube, quality, stats
 from gridledger.sources import feeds, tables
 from gridledger.specs import PW, FeedSpec
@@ -29,39 +28,48 @@ def ingest_folder(
     spec: FeedSpec,
     store: Store,
     declared: list[str] | None = None,
-) -> dict[str, DataFrame]:
-    """Load the new files of one commodity and refresh what depends on them.
+) -> list[str]:
+    """Load the new files of one commodity, refresh what depends on them, return their names.
 
     Files are validated before they are loaded: a file that lacks a declared column or holds a
-    junk number in a load measure goes to the rejected table and leaves no rows behind.
+    junk number in a load measure goes to the rejected table and leaves no rows behind. Later
+    steps read the loaded rows back from the table, where they are columnar and pruned by file.
     """
     log = tables.read_log(spark, store.path("data_files"))
-    rows = feeds.read_feed_folder(spark, uri, spec, log)
-    rejected = None
+    paths = feeds.new_files(spark, uri, spec, log)
+    if not paths:
+        return []
+    headers = feeds.file_headers(spark, paths)
     if declared is not None:
         expected = F.array(*[F.lit(c) for c in declared]).alias("columns")
         metadata = spark.range(1).select(F.lit(spec.category).alias("category"), expected)
-        verdicts = quality.validate_schema(feeds.file_headers(spark, uri), metadata)
-        rows, rejected = quality.split_valid_rejected(rows, verdicts)
-    clean, junk = quality.strict_load(rows, spec)
-    rejected = junk if rejected is None else rejected.unionByName(junk)
-
-    tables.write_rejected(rejected, spec.category, store.path("rejected"))
+        verdicts = quality.validate_schema(headers, metadata)
+        wrong = headers.join(verdicts.filter(~F.col("is_valid")), "file_name", "left_semi")
+        headers = headers.join(verdicts.filter("is_valid"), "file_name", "left_semi")
+        tables.write_rejected(
+            feeds.read_by_header(wrong, spec), spec.category, store.path("rejected")
+        )
+    clean, junk = quality.strict_load(feeds.read_by_header(headers, spec), spec)
+    tables.write_rejected(junk, spec.category, store.path("rejected"))
     tables.append_raw(clean, spec.category, store.path("positions"))
+
+    names = [p.rsplit("/", 1)[1] for p in paths]
+    loaded = tables.read_raw(spark, store.path("positions"), spec).filter(
+        F.col("file_name").isin(names)
+    )
     if spec.category == PW.category:
-        refresh_snapshots(spark, store, clean.select("REPORT_DATE").distinct())
-    loaded = rows.join(clean.select("file_name").distinct(), "file_name", "left_semi")
+        refresh_snapshots(spark, store, loaded.select("REPORT_DATE").distinct())
     tables.write_file_stats(
         stats.stats_documents(file_statistics(loaded, spec)), store.path("file_stats")
     )
-    tables.log_ingest(clean, spec.category, store.path("data_files"))
-    return {"loaded": clean, "rejected": rejected}
+    tables.log_ingest(loaded, spec.category, store.path("data_files"))
+    return names
 
 
 def file_statistics(rows: DataFrame, spec: FeedSpec) -> DataFrame:
-    """Statistics of the newest report of each raw file."""
-    dated = rows.withColumn("REPORT_DATE", parse_report_date("REPORT_DATE"))
-    newest = stats.keep_latest_report(dated, "file_name")
+    """Statistics of the newest report of each file."""
+    typed = quality.coerce_measures(rows, spec)
+    newest = stats.keep_latest_report(typed, "file_name")
     return stats.daily_stats(newest, spec, extra_keys=("file_name",))
 
 
@@ -75,11 +83,3 @@ def refresh_snapshots(spark: SparkSession, store: Store, dates: DataFrame | None
 
 def rebuild_snapshots(spark: SparkSession, store: Store) -> None:
     refresh_snapshots(spark, store)
-
-
-def typed_positions(rows: DataFrame, spec: FeedSpec) -> DataFrame:
-    """Raw text rows -> typed positions, keeping every row."""
-    typed = quality.coerce_measures(rows, spec)
-    if dict(rows.dtypes).get("REPORT_DATE") == "string":
-        typed = typed.withColumn("REPORT_DATE", parse_date_dayfirst(rows["REPORT_DATE"]))
-    return typed
