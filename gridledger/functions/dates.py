@@ -21,9 +21,20 @@ LOOSE_NUMERIC_DATE = r"(\d{1,2})[-/](\d{1,2})[-/](\d{2,4})"
 LOOSE_MONTH_DATE = r"(\d{1,2})([A-Za-z]{3})(\d{2,4})"
 CENTURY_SPLIT = 50
 
+# Fixed value: two-digit years in report-date cells from here on mean 19xx.
+SHORT_YEAR_SPLIT = 69
+
+
+def _parsed(c: Column, fmt: str) -> Column:
+    day = F.try_to_timestamp(c, F.lit(fmt)).cast("date")
+    if "yy" in fmt and "yyyy" not in fmt:
+        # Two digits are read as 2000-2099; 69 and above belong to the last century.
+        day = F.when(F.year(day) >= 2000 + SHORT_YEAR_SPLIT, F.add_months(day, -1200)).otherwise(day)
+    return day
+
 
 def _first_match(c: Column, formats: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in formats])
+    return F.coalesce(*[_parsed(c, f) for f in formats])
 
 
 def parse_report_date(c: ColumnOrName) -> Column:

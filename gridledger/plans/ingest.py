@@ -54,8 +54,9 @@ def ingest_folder(
     tables.append_raw(clean, spec.category, store.path("positions"))
 
     names = [p.rsplit("/", 1)[1] for p in paths]
-    loaded = tables.read_raw(spark, store.path("positions"), spec).filter(
-        F.col("file_name").isin(names)
+    listed = spark.createDataFrame([(n,) for n in names], "file_name string")
+    loaded = tables.read_raw(spark, store.path("positions"), spec).join(
+        listed, "file_name", "left_semi"
     )
     if spec.category == PW.category:
         refresh_snapshots(spark, store, loaded.select("REPORT_DATE").distinct())

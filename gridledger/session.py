@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,19 +26,26 @@ def build_session(master: str | None = None, app: str = "gridledger", **conf: st
     return builder.getOrCreate()
 
 
+_FALLBACK: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written intermediate tables.
 
-    A cluster names it in `spark.checkpoint.dir`. Only a local session may fall
-    back to a temporary folder: on a cluster the executors would not see it.
+    A cluster names it in `spark.checkpoint.dir`. Only a local session may fall back to a
+    temporary folder: on a cluster the executors would not see it.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    fallback = tempfile.mkdtemp(prefix="gridledger-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    if context.applicationId not in _FALLBACK:
+        _FALLBACK[context.applicationId] = tempfile.mkdtemp(prefix="gridledger-")
+    return _FALLBACK[context.applicationId]
+
+
+def new_table_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a written table, below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

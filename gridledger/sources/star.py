@@ -140,8 +140,13 @@ def _spread(key: Column, labels: list[str]) -> Column:
 
 def data_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploaded data files with category and processing flag."""
+    return as_data_files(table(spark, sf_dir, "orders"))
+
+
+def as_data_files(orders: DataFrame) -> DataFrame:
+    """Orders, batch or stream, seen as uploaded files."""
     feed = _spread(F.col("o_orderkey") % 4, ["CO2", "NG", "PW", "XX"])
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         F.col("o_orderkey").alias("file_id"),
         F.concat(
             F.lit("NOP_"), feed, F.lit("_"), F.col("o_orderkey").cast("string"), F.lit(".csv")

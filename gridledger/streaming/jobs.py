@@ -11,7 +11,7 @@ from gridledger.operators import cube
 from gridledger.operators.quality import strict_load
 from gridledger.plans.ingest import Store
 from gridledger.sources import tables
-from gridledger.sources.feeds import CSV_FILES
+from gridledger.sources.feeds import CSV_FILES, source_file
 from gridledger.specs import PW, FeedSpec
 
 
@@ -25,7 +25,7 @@ def feed_stream(
         .option("header", True)
         .option("pathGlobFilter", CSV_FILES)
         .csv(uri)
-        .select("*", F.col("_metadata.file_name").alias("file_name"))
+        .select("*", source_file("file_name").alias("file_name"))
         .filter(route_feed("file_name") == spec.category)
     )
 

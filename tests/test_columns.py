@@ -52,6 +52,13 @@ def test_report_dates(spark):
     assert values(spark, cells[2:4] + ["junk"], dates.parse_date_dayfirst("c")) == [day, day, None]
 
 
+def test_short_years(spark):
+    cells = ["05Nov68", "05Nov69", "29Feb96"]
+    assert values(spark, cells, dates.parse_report_date("c")) == [
+        dt.date(2068, 11, 5), dt.date(1969, 11, 5), dt.date(1996, 2, 29),
+    ]
+
+
 def test_question_dates(spark):
     cells = ["nop on 05-11-2024?", "for 05/11/2024 and 06/11/2024", "31-02-2024", "no date", None]
     day = dt.date(2024, 11, 5)

@@ -52,6 +52,22 @@ def test_read_feed(spark, inbox):
     assert {r["file_name"] for r in rows.collect()} == {"NOP_PW_a.csv"}
 
 
+def test_odd_file_names(spark, tmp_path):
+    name = "NOP_PW a%20+b.csv"
+    write(tmp_path, name, "Report_Date,Volume_BL,MKT_VAL_BL", ["06-11-2024,1,1"])
+    assert [r["file_name"] for r in feeds.list_files(spark, str(tmp_path)).collect()] == [name]
+    rows = feeds.read_feed_folder(spark, str(tmp_path), PW).collect()
+    assert [r["file_name"] for r in rows] == [name]
+
+
+def test_shared_header(spark, inbox):
+    (inbox / "nop_pw_b.CSV").rename(inbox / "unrelated.txt")
+    (inbox / "NOP_PW_short.csv").rename(inbox / "unrelated2.txt")
+    (inbox / "NOP_PW_a.csv").rename(inbox / "unrelated3.txt")
+    rows = feeds.read_feed_folder(spark, str(inbox), PW, shared_header=True)
+    assert {r["file_name"] for r in rows.collect()} == {"NOP_PW_junk.csv"}
+
+
 def test_headers(spark, inbox):
     found = {r["file_name"]: r for r in feeds.file_headers(spark, str(inbox)).collect()}
     assert found["other_d.csv"]["category"] is None
