@@ -86,11 +86,18 @@ def stream_timeline(files: DataFrame, watermark: str = "1 day") -> DataFrame:
 
     A day is emitted once the watermark has passed it; later rows for it are dropped.
     """
-    day = F.window("uploaded_at", "1 day")
+    # Stream windows are cut at midnight UTC. The clock time of the session's zone is moved onto
+    # UTC and back, so that a day is the day the session shows.
+    zone = F.current_timezone()
+    clock = F.from_utc_timestamp(F.col("uploaded_at").cast("timestamp"), zone)
     return (
-        files.withColumn("feed", feed_of_name("file_name"))
-        .withWatermark("uploaded_at", watermark)
-        .groupBy(day, "feed")
+        files.select(feed_of_name("file_name").alias("feed"), clock.alias("clock"))
+        .withWatermark("clock", watermark)
+        .groupBy(F.window("clock", "1 day"), "feed")
         .agg(F.count("*").alias("n_files"))
-        .select(F.to_date("window.start").alias("upload_day"), "feed", "n_files")
+        .select(
+            F.to_date(F.to_utc_timestamp("window.start", zone)).alias("upload_day"),
+            "feed",
+            "n_files",
+        )
     )
