@@ -28,6 +28,16 @@ def agent_file_counts(agents: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def agent_listing(agents: DataFrame) -> DataFrame:
+    """Agent table as it is shown."""
+    return agents.select(
+        F.col("agent_id").alias("id"),
+        F.col("name").alias("agent_name"),
+        "s3_folder",
+        status_label("is_active").alias("status"),
+    )
+
+
 def query_logs(logs: DataFrame, agents: DataFrame) -> DataFrame:
     """Logs with the agent's name, newest first."""
     names = agents.select("agent_id", F.col("name").alias("agent_name"))

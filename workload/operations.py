@@ -256,6 +256,15 @@ def agent_file_counts(spark, sf):
     )
 
 
+@query(
+    "agent_listing",
+    """SELECT agent_id AS id, name AS agent_name, s3_folder, CASE WHEN is_active = 1 THEN 'Active' ELSE 'Inactive' END AS status
+       FROM fx_agents""",
+)
+def agent_listing(spark, sf):
+    return agents.agent_listing(star.agents(spark, sf))
+
+
 @query(
     "query_logs",
     """SELECT l.log_id, l.agent_id, a.name AS agent_name, l.query, l.answer, CAST(l.created_at AS VARCHAR) AS created_at, l.latency
