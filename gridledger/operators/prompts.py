@@ -34,7 +34,9 @@ def select_metrics(
         for key, metric in spec.metric_catalog.items()
         if available is None or metric in available
     ]
-    asked = text.squeezed(column)
+    # A column of its own below the explode, so that it is worked out once per question.
+    prepared = prompts.withColumn("_asked", text.squeezed(column))
+    asked = F.col("_asked")
 
     def entry(i: int, key: str, metric: str):
         cell = F.struct(
@@ -44,6 +46,6 @@ def select_metrics(
         return cell if i == 0 else F.when(named, cell)
 
     # A null question still gets the first metric; its other tests are null and drop out.
-    named = F.array_compact(F.array(*[entry(i, *pair) for i, pair in enumerate(offered)]))
-    rows = prompts.withColumn("m", F.explode(named))
+    tests = F.array(*[entry(i, *pair) for i, pair in enumerate(offered)])
+    rows = prepared.withColumn("m", F.explode(tests)).filter(F.col("m").isNotNull())
     return rows.select(*prompts.columns, "m.ord", "m.name", "m.metric")

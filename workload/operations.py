@@ -174,16 +174,20 @@ def distinct_sources(spark, sf):
 # --- data quality --------------------------------------------------------------------
 
 
-def _headers(spark, sf):
-    """A header per order: its category's columns are the line numbers it holds."""
+def _file_columns(spark, sf):
+    """(file_name, category, column_name): an order's columns are its line numbers."""
     line = star.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("file_id"),
         F.concat(F.lit(" col_"), F.col("l_linenumber").cast("string")).alias("column_name"),
     )
     known = star.data_files(spark, sf).select("file_id", "file_name", "category")
+    return known.join(line, "file_id").select("file_name", "category", "column_name")
+
+
+def _headers(spark, sf):
     # A header has as many entries as there are line numbers, at most seven.
     return (
-        known.join(line, "file_id")
+        _file_columns(spark, sf)
         .groupBy("file_name", "category")
         .agg(F.collect_set("column_name").alias("columns"))
     )
@@ -209,8 +213,9 @@ def validate_schema(spark, sf):
     for category, n in declared.items():
         limit = limit.when(F.col("category") == category, n)
     columns = (
-        _headers(spark, sf)
-        .select("category", F.explode("columns").alias("c"))
+        _file_columns(spark, sf)
+        .select("category", F.col("column_name").alias("c"))
+        .distinct()
         .filter(F.substring_index("c", "_", -1).cast("int") <= limit)
     )
     metadata = columns.groupBy("category").agg(F.collect_set("c").alias("columns"))
