@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridledger.operators import cube, quality, stats
+from gridledger.session import name_frame
 from gridledger.sources import feeds, tables
 from gridledger.specs import PW, FeedSpec
 
@@ -54,9 +55,8 @@ def ingest_folder(
     tables.append_raw(clean, spec.category, store.path("positions"))
 
     names = [p.rsplit("/", 1)[1] for p in paths]
-    listed = spark.createDataFrame([(n,) for n in names], "file_name string")
     loaded = tables.read_raw(spark, store.path("positions"), spec).join(
-        listed, "file_name", "left_semi"
+        name_frame(spark, names, "file_name"), "file_name", "left_semi"
     )
     if spec.category == PW.category:
         refresh_snapshots(spark, store, loaded.select("REPORT_DATE").distinct())

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "gridledger", **conf: str) -> SparkSession:
@@ -49,3 +50,9 @@ def shared_dir(spark: SparkSession) -> str:
 def new_table_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for a written table, below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def name_frame(spark: SparkSession, names: list[str], column: str) -> DataFrame:
+    """A listed set of names as a frame whose small size the planner can see."""
+    listed = F.lit(names).cast("array<string>") if names else F.array().cast("array<string>")
+    return spark.range(1).select(F.explode(listed).alias(column))
