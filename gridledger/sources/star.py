@@ -39,24 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Lay out a table of very few splits over the cores; leave any larger table alone.
-
-    A small file often has a single row group, which one task would read, join and aggregate
-    on its own. Such a table is small by that very fact, so the shuffle is cheap.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    if frame.rdd.getNumPartitions() * 4 <= cores:
-        return frame.repartition(cores, key)
-    return frame
-
-
 def _report_month() -> Column:
     return F.trunc(F.col("l_shipdate").cast("date"), "MM")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    line = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
     customer, part = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
     return (
