@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridledger.llm import secrets, tokens
+from gridledger.llm import pii, secrets, tokens, toxicity, urls
 from gridledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,120 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(~toxicity.held_out()))
+    return toxicity.score(docs, model)
+
+
+RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
+HOST_REPUTATION_SQL = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), parsed AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), outcomes AS (
+  SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad
+  FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+), hosts0 AS (
+  SELECT host, CAST(count(o.bad) AS DOUBLE) AS n, CAST(coalesce(sum(o.bad), 0) AS DOUBLE) AS bad
+  FROM parsed p
+  LEFT JOIN outcomes o ON o.doc_id = TRY_CAST(nullif(regexp_extract(p.path, '^/[a-z][a-z]/([0-9]+)', 1), '') AS BIGINT)
+  GROUP BY host
+), named AS (
+  SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS parts FROM hosts0
+), hosts AS (
+  SELECT host, n, bad, array_to_string(parts[-2:], '.') AS domain, parts[-1] AS suffix FROM named
+), total AS (
+  SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) AS mean FROM hosts
+), suffixes AS (
+  SELECT suffix, (SELECT mean FROM total) AS mean, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suffix
+), suffix_strength AS (
+  SELECT 1 / greatest(0.001, least(0.5, coalesce(CASE WHEN sum(n * (n - 1) * mean * (1 - mean)) > 0
+           THEN sum(pow(bad - n * mean, 2) - n * mean * (1 - mean)) / sum(n * (n - 1) * mean * (1 - mean)) END, 0.5))) - 1 AS k
+  FROM suffixes
+), suffix_means AS (
+  SELECT suffix, (k * mean + bad) / (k + n) AS mean FROM suffixes, suffix_strength
+), domains AS (
+  SELECT h.domain, m.mean, sum(n) AS n, sum(bad) AS bad
+  FROM hosts h JOIN suffix_means m ON h.suffix = m.suffix GROUP BY h.domain, m.mean
+), domain_strength AS (
+  SELECT 1 / greatest(0.001, least(0.5, coalesce(CASE WHEN sum(n * (n - 1) * mean * (1 - mean)) > 0
+           THEN sum(pow(bad - n * mean, 2) - n * mean * (1 - mean)) / sum(n * (n - 1) * mean * (1 - mean)) END, 0.5))) - 1 AS k
+  FROM domains
+), domain_means AS (
+  SELECT domain, (k * mean + bad) / (k + n) AS mean FROM domains, domain_strength
+), placed AS (
+  SELECT h.host, h.n, h.bad, m.mean FROM hosts h JOIN domain_means m ON h.domain = m.domain
+), host_strength AS (
+  SELECT 1 / greatest(0.001, least(0.5, coalesce(CASE WHEN sum(n * (n - 1) * mean * (1 - mean)) > 0
+           THEN sum(pow(bad - n * mean, 2) - n * mean * (1 - mean)) / sum(n * (n - 1) * mean * (1 - mean)) END, 0.5))) - 1 AS k
+  FROM placed
+), posterior AS (
+  SELECT host, k * mean + bad AS a, k * (1 - mean) + n - bad AS b FROM placed, host_strength
+), reputation AS (
+  SELECT host, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) AS low FROM posterior
+), ruled AS (
+  SELECT p.page_id, p.host, p.path, r.low,
+         CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+              WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parsed p JOIN reputation r USING (host)
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN low > 0.2 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+@query("op4_host_reputation", HOST_REPUTATION_SQL)
+def host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's url names the document it shows (`/en/123`); that document's labels are the page's
+    outcome: bad if toxic or of low quality."""
+    parsed = urls.parse_urls(table(spark, sf_dir, "pages"))
+    outcomes = (
+        table(spark, sf_dir, "labels")
+        .filter("doc_id IS NOT NULL AND toxic IS NOT NULL AND quality IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(F.max(F.when(F.expr("toxic = 1 OR quality = 0"), 1).otherwise(0)).alias("bad"))
+    )
+    shown = F.expr("try_cast(nullif(regexp_extract(path, '^/[a-z][a-z]/([0-9]+)', 1), '') AS bigint)")
+    labelled = (
+        parsed.select("page_id", shown.alias("doc_id"))
+        .filter("page_id IS NOT NULL")
+        .distinct()
+        .join(outcomes, "doc_id")
+        .groupBy("page_id")
+        .agg(F.max("bad").alias("bad"))
+    )
+    return urls.judge(parsed, labelled, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+# The key of the registered query; a real run takes its own from a secret store.
+DEMONSTRATION_KEY = "gridledger demonstration key"
+
+
+@query("op6_pseudonyms")
+def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.mask(docs, DEMONSTRATION_KEY, count="n_replaced")
+
+
 @query("op9_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
