@@ -8,6 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridledger.session import new_table_dir
 
@@ -161,3 +162,94 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - before, lengths)
+
+
+def map_units(
+    frame: DataFrame, unit: str, work: Callable[[pa.Table], pa.Table | None], schema: str
+) -> DataFrame:
+    """Bring the rows of each unit (a bigint key) together and apply `work` to whole units.
+
+    `work` gets several complete units at a time, sorted by the key. Units have to be small:
+    callers split larger groups into blocks first.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            keys = held.column(unit).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if cut:
+                out = work(held.slice(0, cut).combine_chunks())
+                if out is not None:
+                    yield from out.to_batches()
+                held = held.slice(cut).combine_chunks()
+        if held is not None and held.num_rows:
+            out = work(held.combine_chunks())
+            if out is not None:
+                yield from out.to_batches()
+
+    return frame.repartition(unit).sortWithinPartitions(unit).mapInArrow(run, schema)
+
+
+def slices(cost: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive items of about `limit` total cost."""
+    begin = 0
+    total = np.cumsum(cost)
+    while begin < len(cost):
+        before = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + limit, side="right")))
+        yield begin, end
+        begin = end
+
+
+def least_linked(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Label of each of n items: the least index it is connected with by the links."""
+    label = np.arange(n)
+    while len(left):
+        low = np.minimum(label[left], label[right])
+        before = label.copy()
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    return label
+
+
+def block_units(
+    frame: DataFrame, group: list[str], size: str, node: str, block: int
+) -> DataFrame:
+    """Split groups into blocks of about `block` members and form a unit of each pair of blocks.
+
+    Adds `unit` (bigint) and `side` (0 or 1). A group of one block gives one unit, within which all
+    pairs count; in a unit of two blocks, pairs on different sides count (`crossed` is true).
+    Every pair of members meets in exactly one unit, and no unit has more than about 2 * block rows.
+    """
+    n_blocks = F.ceil(F.col(size) / block).cast("int")
+    own = F.pmod(F.xxhash64(node, F.lit(17)), F.col("_blocks")).cast("int")
+    return (
+        frame.withColumn("_blocks", n_blocks)
+        .withColumn("_own", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .withColumn("crossed", F.col("_own") != F.col("_other"))
+        .withColumn("side", (F.col("_own") > F.col("_other")).cast("int"))
+        .withColumn(
+            "unit", F.xxhash64(*group, F.least("_own", "_other"), F.greatest("_own", "_other"))
+        )
+        .drop("_blocks", "_own", "_other")
+    )
+
+
+def unit_pairs(unit: np.ndarray, side: np.ndarray, crossed: np.ndarray, limit: int = 50_000):
+    """Index pairs (left, right) that count, unit by unit, in slices of about `limit` pairs."""
+    starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+    ends = np.concatenate((starts[1:], [len(unit)]))
+    later = np.repeat(ends, ends - starts) - np.arange(len(unit)) - 1
+    for a, b in slices(later, limit):
+        left = np.repeat(np.arange(a, b), later[a:b])
+        right = ranges(np.arange(a, b) + 1, later[a:b])
+        meant = ~crossed[left] | (side[left] != side[right])
+        if meant.any():
+            yield left[meant], right[meant]
