@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.llm import jaccard, pii, secrets, tokens, toxicity, urls
+from gridledger.llm import jaccard, pii, secrets, suffixes, tokens, toxicity, urls
 from gridledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,6 +172,11 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.mask(docs, DEMONSTRATION_KEY, count="n_replaced")
 
 
+@query("op7_repeated_bytes")
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removals(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op9_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
