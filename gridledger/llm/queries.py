@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.llm import embeddings, jaccard, pii, secrets, suffixes, tokens, toxicity, urls
+from gridledger.llm import decontam, embeddings, jaccard, pii, secrets, suffixes, tokens, toxicity, urls
 from gridledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,12 @@ def host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(parsed, labelled, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op5_benchmark_leaks")
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.search(docs, decontam.models(docs, benchmark))
+
+
 # The key of the registered query; a real run takes its own from a secret store.
 DEMONSTRATION_KEY = "gridledger demonstration key"
 
