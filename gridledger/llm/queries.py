@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.llm import decontam, embeddings, jaccard, pii, secrets, suffixes, tokens, toxicity, urls
+from gridledger.llm import decontam, embeddings, jaccard, mixing, pii, secrets, suffixes, tokens, toxicity, urls
 from gridledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,30 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# Targets of the mixture: sources flattened to the square root of their shares, fixed language shares,
+# less of licenses, tables and marked-up text than there is.
+MIXTURE = mixing.Settings(
+    targets={
+        "source": 0.5,
+        "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15},
+        "topic": {"prose": 0.86, "license": 0.02, "table": 0.05, "markup": 0.05, "dialogue": 0.02},
+    }
+)
+
+
+@query("op1_mixture")
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cell, its probability and whether it is drawn."""
+    odds = mixing.probabilities(table(spark, sf_dir, "documents"), MIXTURE)
+    p = F.col("_mix_probability")
+    return odds.select(
+        "doc_id",
+        *(F.col(f"_mix_{c}").alias(c) for c in ("source", "lang", "topic", "tokens")),
+        p.alias("probability"),
+        mixing.drawn(MIXTURE.seed, p).alias("drawn"),
+    )
+
+
 @query("op2_toxicity")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
