@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
-# Amounts are added as whole numbers of 1/10000, so a total does not depend on the order
-# in which partitions are merged. Each amount is split into a high and a low half that are
-# summed apart: neither half can overflow, and both stay on the fast 64-bit path.
-AMOUNT_UNITS = 10000
-LOW_BITS = 20
+# Amounts are added exactly, so a total does not depend on the order in which partitions are merged.
+# Each amount is split into the high and low bits of its whole part and its fraction in units of
+# 10 ** -PLACES; the three are summed apart as 64-bit integers, which overflow only beyond 9 * 10 ** 10
+# rows of a group. A double stands for 15 decimal digits: larger amounts are read to the fifteenth.
+# From 2 ** 44 on their binary fractions end within PLACES decimals and are taken as they are.
+PLACES = 8
+LOW_BITS = 26
+WHOLE_LIMIT = float(1 << 62)  # amounts beyond, infinities and NaN are added as plain doubles
 ROUNDING = "decimal(28,6)"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?$"
 
 
 def col(c: ColumnOrName) -> Column:
@@ -21,8 +25,9 @@ def col(c: ColumnOrName) -> Column:
 
 def parse_number(c: ColumnOrName) -> Column:
     """Text with thousands separators -> double; junk and NaN -> null."""
-    value = F.replace(F.trim(col(c).cast("string")), F.lit(","), F.lit("")).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    text = F.replace(F.trim(col(c).cast("string")), F.lit(","), F.lit(""))
+    # The pattern keeps out what only some parsers take for numbers, such as `5D` or `3f`.
+    return F.when(F.rlike(text, F.lit(NUMBER)), text.try_cast("double"))
 
 
 def parse_number_fill0(c: ColumnOrName) -> Column:
@@ -36,12 +41,50 @@ def is_junk_number(c: ColumnOrName) -> Column:
     return text.isNotNull() & (text != "") & (F.lower(text) != "nan") & parse_number(text).isNull()
 
 
+def parts(c: ColumnOrName) -> Column:
+    """Order-independent sum as struct(exact decimal, wild double); both null without input."""
+    v = col(c).cast("double")
+    size = F.abs(v)
+    plain = size < WHOLE_LIMIT  # false for NaN
+    whole = F.when(plain, F.floor(v))
+    # Digits of the fraction beyond the fifteenth of the amount are noise: coarser steps.
+    step = F.when(size < 1e7, 1.0)
+    for k in range(1, PLACES - 2):
+        step = step.when(size < 10.0 ** (7 + k), 10.0**k)
+    step = step.when(size < 2.0**44, 10.0 ** (PLACES - 2)).otherwise(1.0)
+    fraction = F.when(
+        plain, (F.rint((v - F.floor(v)) * 10.0**PLACES / step) * step).cast("bigint")
+    )
+    high = F.sum(F.shiftright(whole, LOW_BITS)).cast("decimal(19,0)")
+    low = F.sum(whole.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(19,0)")
+    units = F.sum(fraction).cast("decimal(19,0)")
+    exact = (
+        high * F.lit(1 << LOW_BITS).cast("decimal(8,0)")
+        + low
+        + units * F.lit(f"0.{'0' * (PLACES - 1)}1").cast(f"decimal({PLACES + 1},{PLACES})")
+    )
+    return F.struct(exact.alias("exact"), F.sum(F.when(~plain, v)).alias("wild"))
+
+
+def value(sums: Column) -> Column:
+    """The double next to a sum made by `parts`."""
+    exact, wild = sums["exact"].cast("double"), sums["wild"]
+    return F.when(wild.isNull(), exact).otherwise(wild + F.coalesce(exact, F.lit(0.0)))
+
+
+def difference(left: Column, right: Column) -> Column:
+    """left - right of two sums made by `parts`; a missing sum counts as 0. Nothing is rounded
+    before the subtraction."""
+    nought = F.lit(0).cast("decimal(38,8)")
+    exact = F.coalesce(left["exact"], nought) - F.coalesce(right["exact"], nought)
+    wild = F.coalesce(left["wild"], F.lit(0.0)) - F.coalesce(right["wild"], F.lit(0.0))
+    tame = left["wild"].isNull() & right["wild"].isNull()
+    return F.when(tame, exact.cast("double")).otherwise(exact.cast("double") + wild)
+
+
 def total(c: ColumnOrName) -> Column:
-    """Order-independent sum (four decimals) as double; null when every input is null."""
-    units = F.rint(col(c) * AMOUNT_UNITS).cast("bigint")
-    high = F.sum(F.shiftright(units, LOW_BITS)).cast("decimal(19,0)")
-    low = F.sum(units.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(19,0)")
-    return (high * F.lit(1 << LOW_BITS).cast("decimal(7,0)") + low).cast("double") / AMOUNT_UNITS
+    """Order-independent sum as double; null when every input is null. Infinities follow IEEE."""
+    return value(parts(c))
 
 
 def total_or_0(c: ColumnOrName) -> Column:
@@ -55,7 +98,8 @@ def mean(c: ColumnOrName) -> Column:
 
 def rounded(c: ColumnOrName, places: int = 2) -> Column:
     """Half-up rounding on the decimal value, so 0.125 -> 0.13 and 1234.565 -> 1234.57."""
-    return F.round(col(c).cast(ROUNDING), places).cast("double")
+    near = F.round(col(c).try_cast(ROUNDING), places).cast("double")
+    return F.coalesce(near, col(c).cast("double"))
 
 
 def sign_label(c: ColumnOrName) -> Column:
@@ -64,12 +108,15 @@ def sign_label(c: ColumnOrName) -> Column:
 
 def grouped_digits(c: ColumnOrName) -> Column:
     """Whole number with thousands separators."""
-    return F.format_number(col(c).cast(ROUNDING), 0)
+    return F.coalesce(
+        F.format_number(col(c).try_cast(ROUNDING), 0), F.format_number(col(c).cast("double"), 0)
+    )
 
 
 def signed_text(c: ColumnOrName) -> Column:
     """Heat-map cell text: two decimals at most, `+` before gains."""
-    plain = F.regexp_replace(F.round(col(c).cast(ROUNDING), 2).cast("string"), "0$", "")
+    near = F.round(col(c).try_cast(ROUNDING), 2).cast("string")
+    plain = F.coalesce(F.regexp_replace(near, "0$", ""), col(c).cast("string"))
     return F.concat(F.when(col(c) > 0, "+").otherwise(""), plain)
 
 

@@ -8,23 +8,29 @@ belongs to.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridledger.functions.numbers import (
+    difference,
     grouped_digits,
+    parts,
     rounded,
     sign_label,
     signed_text,
-    total,
-    total_or_0,
+    value,
 )
 
 # Dimensions shown in the summary of drivers and their headings.
 DRIVER_VIEWS = {"Segment": "SEGMENT", "Book": "BOOK_ATTR8", "Tgroup1": "TGROUP1"}
 TOP_K = 5
 
+#: (latest, previous) report date, or None to look them up in the input.
+ReportDates = tuple[datetime.date | None, datetime.date | None] | None
+
 
 def report_pair(frame: DataFrame, date: str = "REPORT_DATE") -> DataFrame:
     """One row (latest, previous): the two newest dates; `previous` is null if there is one date."""
@@ -40,11 +46,22 @@ def report_pair(frame: DataFrame, date: str = "REPORT_DATE") -> DataFrame:
     )
 
 
-def last_two(frame: DataFrame, date: str = "REPORT_DATE") -> tuple[DataFrame, Column, Column]:
+def last_two(
+    frame: DataFrame, date: str = "REPORT_DATE", dates: ReportDates = None
+) -> tuple[DataFrame, Column, Column]:
     """Rows of the two newest dates, with the conditions `is latest` and `is previous`.
 
-    No row is returned while there is only one date to look at.
+    `dates` gives the pair (latest, previous) where it is known, as from the ingest log
+    (`tables.report_dates`): the rows are then read once, and only those dates' partitions. Without
+    it the dates are found by a pass over the input. No row is returned while there is only one
+    date to look at.
     """
+    if dates is not None:
+        latest, previous = dates
+        if latest is None or previous is None:
+            return frame.filter(F.lit(False)), F.lit(False), F.lit(False)
+        is_latest, is_previous = F.col(date) == F.lit(latest), F.col(date) == F.lit(previous)
+        return frame.filter(is_latest | is_previous), is_latest, is_previous
     # One struct, so that both dates come out of a single subquery.
     pair = report_pair(frame, date).select(F.struct("latest", "previous")).scalar()
     rows = frame.filter(F.col(date) >= pair["previous"])
@@ -70,41 +87,60 @@ def latest_reports(
     )
 
 
+def _side_sums(measures: list[str], is_latest: Column, is_previous: Column) -> list[Column]:
+    """Sums of each measure on both dates, as `parts`."""
+    return [
+        parts(F.when(on_side, F.col(m))).alias(f"{m}_{side}")
+        for m in measures
+        for side, on_side in (("latest", is_latest), ("previous", is_previous))
+    ]
+
+
+def _delta(measure: str) -> Column:
+    """Change between the two sums of `_side_sums`, exact."""
+    return difference(F.col(f"{measure}_latest"), F.col(f"{measure}_previous"))
+
+
 def compare_reports(
-    frame: DataFrame, keys: list[str], measures: list[str], date: str = "REPORT_DATE"
+    frame: DataFrame,
+    keys: list[str],
+    measures: list[str],
+    date: str = "REPORT_DATE",
+    dates: ReportDates = None,
 ) -> DataFrame:
-    """Per key: both values of each measure and the dates the key occurs on.
+    """Per key: both values of each measure, its change, and the dates the key occurs on.
 
     `frame` may hold positions or a stored cube. Columns: keys, `<m>_latest`, `<m>_previous`
-    (null where the key is absent), `in_latest`, `in_previous`.
+    (null where the key is absent), `<m>_delta`, `in_latest`, `in_previous`.
     """
-    rows, is_latest, is_previous = last_two(frame, date)
+    rows, is_latest, is_previous = last_two(frame, date, dates)
     for key in keys:
         rows = rows.filter(F.col(key).isNotNull())
-    values = []
-    for m in measures:
-        for side, on_side in (("latest", is_latest), ("previous", is_previous)):
-            values.append(total(F.when(on_side, F.col(m))).alias(f"{m}_{side}"))
-    return rows.groupBy(*keys).agg(
-        *values,
+    sums = rows.groupBy(*keys).agg(
+        *_side_sums(measures, is_latest, is_previous),
         (F.count_if(is_latest) > 0).alias("in_latest"),
         (F.count_if(is_previous) > 0).alias("in_previous"),
     )
+    figures = [
+        column
+        for m in measures
+        for column in (
+            value(F.col(f"{m}_latest")).alias(f"{m}_latest"),
+            value(F.col(f"{m}_previous")).alias(f"{m}_previous"),
+            _delta(m).alias(f"{m}_delta"),
+        )
+    ]
+    return sums.select(*keys, *figures, "in_latest", "in_previous")
 
 
-def _delta(measure: str) -> Column:
-    latest, previous = F.col(f"{measure}_latest"), F.col(f"{measure}_previous")
-    change = F.coalesce(latest, F.lit(0.0)) - F.coalesce(previous, F.lit(0.0))
-    # Totals are exact to 1/10000; taking the difference must not add noise below that.
-    return F.rint(change * 10000) / 10000
-
-
-def delta_inner(frame: DataFrame, keys: list[str], measure: str) -> DataFrame:
+def delta_inner(
+    frame: DataFrame, keys: list[str], measure: str, dates: ReportDates = None
+) -> DataFrame:
     """Change of one measure for keys present on both dates."""
     return (
-        compare_reports(frame, keys, [measure])
+        compare_reports(frame, keys, [measure], dates=dates)
         .filter(F.col("in_latest") & F.col("in_previous"))
-        .select(*keys, _delta(measure).alias("delta"))
+        .select(*keys, F.col(f"{measure}_delta").alias("delta"))
     )
 
 
@@ -113,15 +149,16 @@ def delta_left(
     keys: list[str],
     volume: str = "VOLUME_BL",
     market: str = "MKT_VAL_BL",
+    dates: ReportDates = None,
 ) -> DataFrame:
     """Changes for keys of the latest date; a key new on that date changes by its full value.
 
     Keys without any change are left out; rounding comes after that test.
     """
     changes = (
-        compare_reports(frame, keys, [volume, market])
+        compare_reports(frame, keys, [volume, market], dates=dates)
         .filter("in_latest")
-        .select(*keys, _delta(volume).alias("dv"), _delta(market).alias("dm"))
+        .select(*keys, F.col(f"{volume}_delta").alias("dv"), F.col(f"{market}_delta").alias("dm"))
         .filter((F.col("dv") != 0) | (F.col("dm") != 0))
     )
     return changes.select(
@@ -129,52 +166,50 @@ def delta_left(
     )
 
 
-def delta_either(frame: DataFrame, keys: list[str], measure: str) -> DataFrame:
+def delta_either(
+    frame: DataFrame, keys: list[str], measure: str, dates: ReportDates = None
+) -> DataFrame:
     """Change of one measure for keys present on either date."""
-    return compare_reports(frame, keys, [measure]).select(*keys, _delta(measure).alias("delta"))
+    changes = compare_reports(frame, keys, [measure], dates=dates)
+    return changes.select(*keys, F.col(f"{measure}_delta").alias("delta"))
 
 
-def label_values(frame: DataFrame, column: str, at_most: int = 1000) -> list[str]:
-    """Sorted distinct values of a column that becomes a set of output columns."""
-    found = [
-        r[0]
-        for r in frame.select(column)
-        .filter(F.col(column).isNotNull())
+def delta_full(
+    frame: DataFrame, row: str, column: str, measure: str, dates: ReportDates = None
+) -> DataFrame:
+    """Every (row label, member) pair of the heat map in long form, absent pairs 0.
+
+    The result is the product of both label sets by definition. Each row label meets the distinct
+    members, which come as one array from a subquery; the changes are then added in.
+    """
+    changes = delta_either(frame, [row, column], measure, dates)
+    members = changes.agg(F.collect_set(column)).scalar()
+    blank = (
+        changes.select(row)
         .distinct()
-        .limit(at_most + 1)
-        .collect()
-    ]
-    if len(found) > at_most:
-        raise ValueError(
-            f"{column} has more than {at_most} values; use delta_either, the long form"
-        )
-    return sorted(found)
+        .select(row, F.explode(members).alias(column), F.lit(0.0).alias("delta"))
+    )
+    # One change per pair at most: the sum only fills it in.
+    return changes.unionByName(blank).groupBy(row, column).agg(F.sum("delta").alias("delta"))
 
 
 def delta_matrix(
-    frame: DataFrame, row: str, column: str, measure: str, columns: list[str] | None = None
-) -> DataFrame:
-    """Heat-map numbers: one line per `row` label, one column per member, absent cells 0."""
-    changes = delta_either(frame, [row, column], measure)
-    names = columns if columns is not None else label_values(last_two(frame)[0], column)
-    wide = changes.groupBy(row).pivot(column, names).agg(F.first("delta"))
-    return wide.select(row, *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in names])
-
-
-def delta_full(
-    frame: DataFrame, row: str, column: str, measure: str, columns: list[str] | None = None
+    frame: DataFrame,
+    row: str,
+    column: str,
+    measure: str,
+    columns: list[str],
+    dates: ReportDates = None,
 ) -> DataFrame:
-    """Every (row label, member) pair of the heat map in long form, absent pairs 0."""
-    wide = delta_matrix(frame, row, column, measure, columns)
-    members = [c for c in wide.columns if c != row]
-    return wide.unpivot(row, [f"`{m}`" for m in members], column, "delta")
+    """Heat-map numbers, one column per member: a layout of `delta_full` for given members."""
+    changes = delta_either(frame, [row, column], measure, dates)
+    wide = changes.groupBy(row).pivot(column, columns).agg(F.first("delta"))
+    return wide.select(row, *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in columns])
 
 
-def delta_matrix_text(matrix: DataFrame, row: str) -> DataFrame:
-    """Heat-map cells as signed text."""
-    return matrix.select(
-        row, *[signed_text(F.col(f"`{c}`")).alias(c) for c in matrix.columns if c != row]
-    )
+def delta_text(cells: DataFrame) -> DataFrame:
+    """Cells of `delta_full` as signed text."""
+    return cells.withColumn("delta", signed_text("delta"))
 
 
 def delta_series(frame: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
@@ -182,35 +217,38 @@ def delta_series(frame: DataFrame, keys: list[str], measures: list[str]) -> Data
 
     The window runs over one row per (key, report date), never over positions.
     """
-    per_date = frame.groupBy(*keys, "REPORT_DATE").agg(*[total_or_0(m).alias(m) for m in measures])
+    per_date = frame.groupBy(*keys, "REPORT_DATE").agg(*[parts(m).alias(m) for m in measures])
     for key in [*keys, "REPORT_DATE"]:
         per_date = per_date.filter(F.col(key).isNotNull())
     history = W.partitionBy(*keys).orderBy("REPORT_DATE")
     return per_date.select(
         *keys,
         "REPORT_DATE",
-        *measures,
+        *[_or_0(value(F.col(m))).alias(m) for m in measures],
         *[
-            (F.rint((F.col(m) - F.lag(m).over(history)) * 10000) / 10000).alias(f"delta_{m}")
+            F.when(
+                F.lag(m).over(history).isNotNull(),
+                difference(F.col(m), F.lag(m).over(history)),
+            ).alias(f"delta_{m}")
             for m in measures
         ],
     )
 
 
-def nop_card(positions: DataFrame) -> DataFrame:
+def _or_0(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0.0))
+
+
+def nop_card(positions: DataFrame, dates: ReportDates = None) -> DataFrame:
     """Headline figures of the latest report: value, change, sign and display text."""
-    rows, is_latest, is_previous = last_two(positions)
+    rows, is_latest, is_previous = last_two(positions, dates=dates)
     sums = rows.agg(
         F.max("REPORT_DATE").alias("as_of"),
-        *[
-            total_or_0(F.when(cond, F.col(m))).alias(f"{m}_{side}")
-            for m in ("VOLUME_BL", "MKT_VAL_BL")
-            for side, cond in (("latest", is_latest), ("previous", is_previous))
-        ],
+        *_side_sums(["VOLUME_BL", "MKT_VAL_BL"], is_latest, is_previous),
     ).filter(F.col("as_of").isNotNull())
-    cards = sums.select("as_of", F.col("VOLUME_BL_latest").alias("volume"),
+    cards = sums.select("as_of", _or_0(value(F.col("VOLUME_BL_latest"))).alias("volume"),
                         _delta("VOLUME_BL").alias("delta_volume"),
-                        F.col("MKT_VAL_BL_latest").alias("market"),
+                        _or_0(value(F.col("MKT_VAL_BL_latest"))).alias("market"),
                         _delta("MKT_VAL_BL").alias("delta_market"))
     return cards.select(
         "*",
@@ -228,21 +266,25 @@ def nop_card(positions: DataFrame) -> DataFrame:
 
 
 def top_movers(
-    positions: DataFrame, member: str, horizon: str, measure: str, k: int = TOP_K
+    positions: DataFrame,
+    member: str,
+    horizon: str,
+    measure: str,
+    k: int = TOP_K,
+    dates: ReportDates = None,
 ) -> DataFrame:
     """The `k` members whose value at one horizon changed most between the two reports.
 
     A member must occur in both reports, at any horizon; where it has nothing at the chosen
     horizon its value there is 0.
     """
-    rows, is_latest, is_previous = last_two(positions)
+    rows, is_latest, is_previous = last_two(positions, dates=dates)
     at_horizon = F.col("HORIZON") == horizon
     per_member = (
         rows.filter(F.col(member).isNotNull() & F.col("HORIZON").isNotNull())
         .groupBy(member)
         .agg(
-            total(F.when(is_latest & at_horizon, F.col(measure))).alias(f"{measure}_latest"),
-            total(F.when(is_previous & at_horizon, F.col(measure))).alias(f"{measure}_previous"),
+            *_side_sums([measure], is_latest & at_horizon, is_previous & at_horizon),
             F.count_if(is_latest).alias("n_latest"),
             F.count_if(is_previous).alias("n_previous"),
         )
@@ -256,7 +298,7 @@ def top_movers(
 
 
 def top_movers_all(
-    positions: DataFrame, member: str, measure: str, k: int = TOP_K
+    positions: DataFrame, member: str, measure: str, k: int = TOP_K, dates: ReportDates = None
 ) -> DataFrame:
     """`top_movers` for every horizon of the two reports: (HORIZON, rank, member, delta).
 
@@ -265,8 +307,8 @@ def top_movers_all(
     are added to each horizon instead of all member-horizon pairs.
     """
     keys = [member, "HORIZON"]
-    cells = compare_reports(positions, keys, [measure]).select(
-        *keys, _delta(measure).alias("delta"), "in_latest", "in_previous"
+    cells = compare_reports(positions, keys, [measure], dates=dates).select(
+        *keys, F.col(f"{measure}_delta").alias("delta"), "in_latest", "in_previous"
     )
     # One row per (member, horizon): a member's reports are read off its few cells.
     own = W.partitionBy(member)
@@ -297,14 +339,17 @@ def top_movers_all(
 
 
 def top_drivers(
-    positions: DataFrame, views: dict[str, str] | None = None, k: int = TOP_K
+    positions: DataFrame,
+    views: dict[str, str] | None = None,
+    k: int = TOP_K,
+    dates: ReportDates = None,
 ) -> DataFrame:
     """Largest market-value changes per dimension: (view, rank, member, horizon, changes).
 
     All dimensions are compared in one pass with grouping sets.
     """
     views = views or DRIVER_VIEWS
-    rows, is_latest, is_previous = last_two(positions)
+    rows, is_latest, is_previous = last_two(positions, dates=dates)
     dims = list(views.values())
     ids = {
         name: sum(1 << (len(dims) - i) for i, d in enumerate(dims) if d != dim)
@@ -315,11 +360,7 @@ def top_drivers(
         .groupingSets([[d, "HORIZON"] for d in dims], *dims, "HORIZON")
         .agg(
             F.grouping_id().alias("gid"),
-            *[
-                total(F.when(cond, F.col(m))).alias(f"{m}_{side}")
-                for m in ("VOLUME_BL", "MKT_VAL_BL")
-                for side, cond in (("latest", is_latest), ("previous", is_previous))
-            ],
+            *_side_sums(["VOLUME_BL", "MKT_VAL_BL"], is_latest, is_previous),
             F.count_if(is_latest).alias("n_latest"),
         )
     )

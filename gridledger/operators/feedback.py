@@ -46,8 +46,15 @@ def feedback_trend(logs: DataFrame) -> DataFrame:
     )
 
 
-def feedback_trend_wide(trend: DataFrame, comments: list[str]) -> DataFrame:
-    """One column per listed comment, 0 where it was not used that day."""
+def feedback_trend_wide(trend: DataFrame, comments: list[str] | None = None) -> DataFrame:
+    """One column per comment, 0 where it was not used that day.
+
+    The columns of a result have to be known before it runs: without a list, the distinct comments
+    are looked up first. `feedback_trend` is the same in long form, for many comments.
+    """
+    if comments is None:
+        names = trend.select("feedback_comment").distinct().orderBy("feedback_comment")
+        comments = [r[0] for r in names.collect()]
     return (
         trend.groupBy("day").pivot("feedback_comment", comments).agg(F.sum("n")).fillna(0)
     )
@@ -97,10 +104,18 @@ def current_agents(changes: DataFrame) -> DataFrame:
     return state.filter(F.col("last_action") != "delete").drop("last_action")
 
 
-def answer_confidence(insights: DataFrame, questions: DataFrame, base: float = 0.7) -> DataFrame:
-    """Confidence per question from the number of complaints found for it."""
+def answer_confidence(
+    insights: DataFrame, questions: DataFrame, documents: DataFrame, base: float = 0.7
+) -> DataFrame:
+    """Confidence per question from the complaints found for it and the documents behind it.
+
+    `documents` has (question_id, n_docs): how many files the answer was drawn from.
+    """
     found = insights.groupBy("question_id").agg(F.count("*").alias("n_feedback"))
-    counted = questions.select("question_id").join(found, "question_id", "left").fillna(0)
-    return counted.withColumn(
-        "confidence", F.round(confidence(base, "n_feedback", F.lit(0)), 4)
+    counted = (
+        questions.select("question_id")
+        .join(found, "question_id", "left")
+        .join(documents.select("question_id", "n_docs"), "question_id", "left")
+        .fillna(0, ["n_feedback", "n_docs"])
     )
+    return counted.withColumn("confidence", F.round(confidence(base, "n_feedback", "n_docs"), 4))

@@ -14,12 +14,12 @@ def values(spark, cells, expression, kind="string"):
 
 
 def test_numbers(spark):
-    cells = ["1,234.5", " -7 ", "n/a", "", None, "nan", "1,000,000"]
-    parsed = [1234.5, -7.0, None, None, None, None, 1000000.0]
+    cells = ["1,234.5", " -7 ", "n/a", "", None, "nan", "1,000,000", "5D", "3f", "1e3", "-Infinity"]
+    parsed = [1234.5, -7.0, None, None, None, None, 1000000.0, None, None, 1000.0, float("-inf")]
     assert values(spark, cells, numbers.parse_number("c")) == parsed
     assert values(spark, cells, numbers.parse_number_fill0("c")) == [v or 0.0 for v in parsed]
     junk = values(spark, cells, F.coalesce(numbers.is_junk_number("c"), F.lit(False)))
-    assert junk == [False, False, True, False, False, False, False]
+    assert junk == [False, False, True, False, False, False, False, True, True, False, False]
 
 
 def test_exact_totals(spark):
@@ -28,6 +28,13 @@ def test_exact_totals(spark):
     assert frame.agg(numbers.total("c")).first()[0] == 0.0001
     big = spark.range(1000).select(F.lit(90000000000000.25).alias("c"))
     assert big.agg(numbers.total("c")).first()[0] == 9.000000000000025e16
+    tiny = spark.range(3).select(F.lit(0.00004).alias("c"))
+    assert tiny.agg(numbers.total("c")).first()[0] == 0.00012
+    wild = spark.createDataFrame([(1e15,), (float("inf"),), (1e300,)], "c double")
+    assert wild.agg(numbers.total("c")).first()[0] == float("inf")
+    assert wild.filter("c < 1e20").agg(numbers.total("c")).first()[0] == 1e15
+    both = wild.agg(numbers.parts("c").alias("a")).select(numbers.difference(F.col("a"), F.col("a")))
+    assert both.first()[0] != both.first()[0]  # inf - inf
     nothing = frame.filter("c > 1e12")
     assert nothing.agg(numbers.total("c"), numbers.total_or_0("c")).first()[:] == (None, 0.0)
 

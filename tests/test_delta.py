@@ -75,15 +75,21 @@ def test_one_report_gives_nothing(positions):
 
 
 def test_matrix_text(positions):
-    matrix = delta.delta_matrix(positions, "HORIZON", "SEGMENT", "VOLUME_BL")
-    cells = {r["HORIZON"]: r for r in delta.delta_matrix_text(matrix, "HORIZON").collect()}
-    assert cells["Y1"]["A"] == "+5.0" and cells["Y2"]["GONE"] == "-3.0"
-    assert cells["Y2"]["NEW"] == "0.0"
-
-
-def test_too_many_members(positions):
-    with pytest.raises(ValueError):
-        delta.label_values(positions, "SEGMENT", at_most=2)
+    full = delta.delta_full(positions, "HORIZON", "SEGMENT", "VOLUME_BL")
+    cells = {(r["HORIZON"], r["SEGMENT"]): r["delta"] for r in delta.delta_text(full).collect()}
+    assert cells[("Y1", "A")] == "+5.0" and cells[("Y2", "GONE")] == "-3.0"
+    assert cells[("Y2", "NEW")] == "0.0"
+    wide = delta.delta_matrix(positions, "HORIZON", "SEGMENT", "VOLUME_BL", ["A", "GONE"])
+    assert {r["HORIZON"]: r["A"] for r in wide.collect()}["Y1"] == 5.0
+
+
+def test_given_dates_are_read_alone(positions):
+    found = delta.report_pair(positions).first()
+    dates = (found["latest"], found["previous"])
+    looked_up = as_dict(delta.delta_either(positions, KEYS, "VOLUME_BL"), "delta")
+    given = delta.delta_either(positions, KEYS, "VOLUME_BL", dates)
+    assert as_dict(given, "delta") == looked_up
+    assert delta.nop_card(positions, (dates[0], None)).count() == 0
 
 
 def test_movers_need_both_reports(positions):

@@ -17,7 +17,7 @@ from gridledger.sources import star, tables
 from gridledger.streaming import jobs
 from workload.operations import validate_schema
 from workload.positions import _build_cube_sql, _exact_diff, _sides, _stat_sql
-from workload.registry import SQL, dsum, query
+from workload.registry import SQL, as_double, dsum, query
 
 # --- dirty cells ---------------------------------------------------------------------
 
@@ -54,6 +54,56 @@ def parse_amounts(spark, sf):
     )
 
 
+_ODD_CELLS = """SELECT l_orderkey, l_linenumber, l_returnflag,
+    CASE CAST(l_orderkey % 8 AS INT)
+      WHEN 0 THEN CAST(CAST(l_quantity AS DECIMAL(18,6)) / 1000000 + 0.000001 AS VARCHAR)
+      WHEN 1 THEN concat(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 'e15')
+      WHEN 2 THEN concat(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 'D')
+      WHEN 3 THEN CASE WHEN l_returnflag = 'N' AND l_linenumber = 7 THEN 'Infinity' ELSE '-0.000040' END
+      WHEN 4 THEN concat(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 'f')
+      WHEN 5 THEN concat('-', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), '.123456')
+      ELSE concat(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), '000000.000001') END AS cell
+  FROM lineitem"""
+
+
+def _odd_cells(spark, sf):
+    """Quantities as cells with many decimals, huge exponents, infinities and type suffixes."""
+    key, amount = F.col("l_orderkey"), F.col("l_quantity")
+    whole = amount.cast("bigint").cast("string")
+    kind = key % 8
+    small = (amount.cast("decimal(18,6)") / F.lit(1000000) + F.lit("0.000001").cast("decimal(7,6)"))
+    endless = (F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 7)
+    cell = (
+        F.when(kind == 0, small.cast("decimal(18,12)").cast("string"))
+        .when(kind == 1, F.concat(whole, F.lit("e15")))
+        .when(kind == 2, F.concat(whole, F.lit("D")))
+        .when(kind == 3, F.when(endless, "Infinity").otherwise("-0.000040"))
+        .when(kind == 4, F.concat(whole, F.lit("f")))
+        .when(kind == 5, F.concat(F.lit("-"), whole, F.lit(".123456")))
+        .otherwise(F.concat(whole, F.lit("000000.000001")))
+    )
+    return star.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_returnflag", cell.alias("cell")
+    )
+
+
+@query(
+    "exact_totals",
+    f"""WITH c AS ({_ODD_CELLS}),
+        n AS (SELECT *, CASE WHEN regexp_matches(cell, '[Df]$') THEN NULL ELSE TRY_CAST(cell AS DOUBLE) END AS v FROM c)
+        SELECT l_returnflag, CAST(l_linenumber AS INT) AS l_linenumber,
+               CAST(COUNT(*) FILTER (WHERE v IS NULL) AS BIGINT) AS n_junk,
+               CASE WHEN bool_or(isinf(v)) THEN 'Infinity'::DOUBLE
+                    ELSE {as_double("SUM(CASE WHEN isfinite(v) THEN TRY_CAST(cell AS DECIMAL(28,8)) END)")} END AS amount
+        FROM n GROUP BY ALL""",
+)
+def exact_totals(spark, sf):
+    cells = _odd_cells(spark, sf).withColumn("v", numbers.parse_number("cell"))
+    return cells.groupBy("l_returnflag", F.col("l_linenumber").cast("int").alias("l_linenumber")).agg(
+        F.count_if(numbers.is_junk_number("cell")).alias("n_junk"), numbers.total("v").alias("amount")
+    )
+
+
 _DAY_STYLES = [
     ("%d%b%y", "ddMMMyy"),
     ("%d-%m-%Y", "dd-MM-yyyy"),

@@ -199,12 +199,13 @@ def _headers(spark, sf):
                      FROM fx_files f JOIN lineitem l ON l.l_orderkey = f.file_id),
        want AS (SELECT DISTINCT category, concat('COL_', l_linenumber) AS c FROM fx_files JOIN lineitem ON l_orderkey = file_id
                 WHERE l_linenumber <= CASE category WHEN 'CO2' THEN 2 WHEN 'NG' THEN 3 ELSE 1 END AND category <> 'XX'),
-       fs AS (SELECT DISTINCT file_name, category FROM have WHERE category <> 'XX'),
+       fs AS (SELECT DISTINCT file_name, category FROM have),
        miss AS (SELECT fs.file_name, string_agg(want.c, ',' ORDER BY want.c) AS missing FROM fs JOIN want USING (category)
                 LEFT JOIN have ON have.file_name = fs.file_name AND have.c = want.c WHERE have.c IS NULL GROUP BY 1),
        ext AS (SELECT have.file_name, string_agg(have.c, ',' ORDER BY have.c) AS extra FROM have
-               LEFT JOIN want ON want.category = have.category AND want.c = have.c WHERE want.c IS NULL GROUP BY 1)
-       SELECT file_name, category, COALESCE(missing, '') AS missing, COALESCE(extra, '') AS extra, missing IS NULL AS is_valid
+               LEFT JOIN want ON want.category = have.category AND want.c = have.c
+               WHERE want.c IS NULL AND have.category <> 'XX' GROUP BY 1)
+       SELECT file_name, category, COALESCE(missing, '') AS missing, COALESCE(extra, '') AS extra, missing IS NULL AND category <> 'XX' AS is_valid
        FROM fs LEFT JOIN miss USING (file_name) LEFT JOIN ext USING (file_name)""",
 )
 def validate_schema(spark, sf):
@@ -437,21 +438,13 @@ def feedback_trend(spark, sf):
     return _text(feedback.feedback_trend(star.question_logs(spark, sf)), "day")
 
 
-COMMENTS = ["issue_0", "issue_1", "issue_2", "issue_3"]
-
-
 @query(
     "feedback_trend_wide",
-    "SELECT day, "
-    + ", ".join(
-        f"CAST(COALESCE(SUM(CASE WHEN feedback_comment = '{c}' THEN n END), 0) AS BIGINT) AS {c}"
-        for c in COMMENTS
-    )
-    + f" FROM ({_TREND_SQL}) GROUP BY day",
+    f"PIVOT ({_TREND_SQL}) ON feedback_comment USING CAST(COALESCE(SUM(n), 0) AS BIGINT) GROUP BY day",
 )
 def feedback_trend_wide(spark, sf):
     trend = feedback.feedback_trend(star.question_logs(spark, sf))
-    return _text(feedback.feedback_trend_wide(trend, COMMENTS), "day")
+    return _text(feedback.feedback_trend_wide(trend), "day")
 
 
 @query(
@@ -582,7 +575,7 @@ _NEAREST = rf"""{_VECTORS},
     qn AS (SELECT question_id, sqrt(SUM(raw * raw)) AS n FROM qw GROUP BY 1),
     qv AS (SELECT question_id, token, raw / n AS weight FROM qw JOIN qn USING (question_id)),
     dots AS (SELECT question_id, id, SUM(qv.weight * vec.weight) AS dot FROM qv JOIN vec USING (token) GROUP BY 1, 2),
-    al AS (SELECT qn.question_id, docs.id, round(CASE WHEN len({_TOKENS}) = 0 THEN 1.0 ELSE greatest(0.0, 2 - 2 * COALESCE(dot, 0)) END, 8) AS distance
+    al AS (SELECT qn.question_id, docs.id, round(CASE WHEN len({_TOKENS}) = 0 THEN 1.0 ELSE greatest(0.0, 2 - 2 * COALESCE(dot, 0)) END, 12) AS distance
            FROM qn CROSS JOIN docs LEFT JOIN dots ON dots.question_id = qn.question_id AND dots.id = docs.id),
     near AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY distance, id) AS INT) AS rank FROM al)"""
 
@@ -616,10 +609,14 @@ def feedback_insights(spark, sf):
     "answer_confidence",
     f"""{_INSIGHTS}, c AS (SELECT question_id, COUNT(*) AS n FROM ins GROUP BY 1)
         SELECT b.item_id AS question_id, CAST(COALESCE(c.n, 0) AS BIGINT) AS n_feedback,
-               round(greatest(0.1, least(0.99, 0.7::DOUBLE - 0.05::DOUBLE * COALESCE(c.n, 0))), 4) AS confidence
+               CAST(len(string_split(b.text, chr(10))) AS BIGINT) AS n_docs,
+               round(greatest(0.1, least(0.99, 0.7::DOUBLE - 0.05::DOUBLE * COALESCE(c.n, 0)
+                     + 0.1::DOUBLE * least(len(string_split(b.text, chr(10))), 3))), 4) AS confidence
         FROM benchmark b LEFT JOIN c ON b.item_id = c.question_id""",
 )
 def answer_confidence(spark, sf):
     asked = star.questions(spark, sf)
     insights = retrieval.feedback_insights(asked, star.feedback_texts(spark, sf))
-    return feedback.answer_confidence(insights, asked)
+    # Each line of a question's text stands for one file that its answer was drawn from.
+    behind = asked.select("question_id", F.size(F.split("question", "\n")).cast("bigint").alias("n_docs"))
+    return feedback.answer_confidence(insights, asked, behind)

@@ -10,7 +10,7 @@ from gridledger.functions.numbers import total_or_0
 from gridledger.operators import cube, delta, reshape, stats, trend
 from gridledger.plans import adhoc
 from gridledger.sources import star
-from workload.registry import dsum, dsum_null, query, round2
+from workload.registry import as_double, dsum, dsum_null, exact_sum, query, round2
 
 M9 = [m.lower() for m in specs.PW_MEASURES]
 
@@ -94,7 +94,7 @@ p AS (SELECT MAX(dt) AS latest, MIN(dt) AS previous FROM d)"""
 
 def _sides(keys: str, measures: list[str]) -> str:
     """CTEs `cur` and `prev`: sums per key on the latest and the previous date."""
-    sums = ", ".join(f"{dsum(m)} AS {m}" for m in measures)
+    sums = ", ".join(f"{exact_sum(m)} AS {m}" for m in measures)
     return (
         f"WITH {_LAST_TWO}, "
         f"cur AS (SELECT {keys}, {sums} FROM fx_pw, p WHERE REPORT_DATE = latest GROUP BY {keys}), "
@@ -103,9 +103,8 @@ def _sides(keys: str, measures: list[str]) -> str:
 
 
 def _exact_diff(a: str, b: str) -> str:
-    return (
-        f"CAST(CAST(COALESCE({a}, 0) AS DECIMAL(28,4)) - CAST(COALESCE({b}, 0) AS DECIMAL(28,4)) AS DOUBLE)"
-    )
+    """Difference of two exact sums as a double."""
+    return as_double(f"(COALESCE({a}, 0) - COALESCE({b}, 0))")
 
 
 def _register_deltas(suffix: str, keys: list[str]) -> None:
@@ -170,58 +169,39 @@ _register_full("delta_full_horizon", "HORIZON", "SEGMENT")
 _register_full("delta_full_bucket", "BUCKET", "SEGMENT")
 _register_full("delta_full_book_by_class", "BOOK", "BOOK_ATTR8")
 
-# The five segments of the test tables.
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-
-
-def _matrix_sql(row: str, cell) -> str:
-    cells = ", ".join(cell(s) + f" AS {s}" for s in SEGMENTS)
-    return f"""{_sides(f'{row}, SEGMENT', ['MKT_VAL_BL'])}, j AS (
-        SELECT {row}, SEGMENT, {_exact_diff('cur.MKT_VAL_BL', 'prev.MKT_VAL_BL')} AS delta
-        FROM cur FULL JOIN prev USING ({row}, SEGMENT))
-        SELECT {row}, {cells} FROM j GROUP BY {row}"""
-
-
-def _number_cell(segment: str) -> str:
-    return f"COALESCE(SUM(CASE WHEN SEGMENT = '{segment}' THEN delta END), 0)"
-
-
-def _text_cell(segment: str) -> str:
-    v = f"CAST({_number_cell(segment)} AS DECIMAL(28,6))"
-    return (
-        f"concat(CASE WHEN {v} > 0 THEN '+' ELSE '' END, "
-        f"regexp_replace(CAST(CAST(ROUND({v}, 2) AS DECIMAL(28,2)) AS VARCHAR), '0$', ''))"
-    )
+_SIGNED_CELL = (
+    "concat(CASE WHEN delta > 0 THEN '+' ELSE '' END, "
+    "regexp_replace(CAST(CAST(ROUND(CAST(delta AS DECIMAL(28,6)), 2) AS DECIMAL(28,2)) AS VARCHAR), '0$', ''))"
+)
 
 
-@query("delta_matrix_horizon", _matrix_sql("HORIZON", _number_cell))
+# Heat maps over all members of both reports.
+@query("delta_matrix_horizon", _full_sql("HORIZON", "SEGMENT"))
 def delta_matrix_horizon(spark, sf):
-    return delta.delta_matrix(
-        star.power_positions(spark, sf), "HORIZON", "SEGMENT", "MKT_VAL_BL", SEGMENTS
-    )
+    return delta.delta_full(star.power_positions(spark, sf), "HORIZON", "SEGMENT", "MKT_VAL_BL")
 
 
-@query("delta_matrix_bucket", _matrix_sql("BUCKET", _number_cell))
+@query("delta_matrix_bucket", _full_sql("BUCKET", "BOOK_ATTR8"))
 def delta_matrix_bucket(spark, sf):
-    return delta.delta_matrix(
-        star.power_positions(spark, sf), "BUCKET", "SEGMENT", "MKT_VAL_BL", SEGMENTS
-    )
+    return delta.delta_full(star.power_positions(spark, sf), "BUCKET", "BOOK_ATTR8", "MKT_VAL_BL")
 
 
-@query("delta_matrix_text", _matrix_sql("HORIZON", _text_cell))
+@query(
+    "delta_matrix_text",
+    f"SELECT HORIZON, SEGMENT, {_SIGNED_CELL} AS delta FROM ({_full_sql('HORIZON', 'SEGMENT')})",
+)
 def delta_matrix_text(spark, sf):
-    return delta.delta_matrix_text(delta_matrix_horizon(spark, sf), "HORIZON")
+    return delta.delta_text(delta_matrix_horizon(spark, sf))
 
 
 @query(
     "delta_series",
-    f"""WITH s AS (SELECT SEGMENT, HORIZON, REPORT_DATE, {dsum('VOLUME_BL')} AS v, {dsum('MKT_VAL_BL')} AS m
+    f"""WITH s AS (SELECT SEGMENT, HORIZON, REPORT_DATE, {exact_sum('VOLUME_BL')} AS v, {exact_sum('MKT_VAL_BL')} AS m
                    FROM fx_pw GROUP BY SEGMENT, HORIZON, REPORT_DATE),
         w AS (SELECT *, LAG(v) OVER (PARTITION BY SEGMENT, HORIZON ORDER BY REPORT_DATE) AS pv,
                      LAG(m) OVER (PARTITION BY SEGMENT, HORIZON ORDER BY REPORT_DATE) AS pm FROM s)
-        SELECT SEGMENT, HORIZON, CAST(REPORT_DATE AS VARCHAR) AS REPORT_DATE, v AS VOLUME_BL, m AS MKT_VAL_BL,
-               CAST(CAST(v AS DECIMAL(28,4)) - CAST(pv AS DECIMAL(28,4)) AS DOUBLE) AS delta_VOLUME_BL,
-               CAST(CAST(m AS DECIMAL(28,4)) - CAST(pm AS DECIMAL(28,4)) AS DOUBLE) AS delta_MKT_VAL_BL FROM w""",
+        SELECT SEGMENT, HORIZON, CAST(REPORT_DATE AS VARCHAR) AS REPORT_DATE, {as_double('v')} AS VOLUME_BL, {as_double('m')} AS MKT_VAL_BL,
+               {as_double('(v - pv)')} AS delta_VOLUME_BL, {as_double('(m - pm)')} AS delta_MKT_VAL_BL FROM w""",
 )
 def delta_series(spark, sf):
     series = delta.delta_series(
@@ -250,11 +230,11 @@ def _grouped(v: str) -> str:
     "nop_card",
     f"""WITH {_LAST_TWO},
         s AS (SELECT CAST(MAX(latest) AS VARCHAR) AS as_of,
-            {dsum('CASE WHEN REPORT_DATE = latest THEN VOLUME_BL END')} AS v1,
-            {dsum('CASE WHEN REPORT_DATE = previous THEN VOLUME_BL END')} AS v0,
-            {dsum('CASE WHEN REPORT_DATE = latest THEN MKT_VAL_BL END')} AS m1,
-            {dsum('CASE WHEN REPORT_DATE = previous THEN MKT_VAL_BL END')} AS m0 FROM fx_pw, p),
-        t AS (SELECT as_of, v1 AS volume, {_exact_diff('v1', 'v0')} AS delta_volume, m1 AS market,
+            {exact_sum('CASE WHEN REPORT_DATE = latest THEN VOLUME_BL END')} AS v1,
+            {exact_sum('CASE WHEN REPORT_DATE = previous THEN VOLUME_BL END')} AS v0,
+            {exact_sum('CASE WHEN REPORT_DATE = latest THEN MKT_VAL_BL END')} AS m1,
+            {exact_sum('CASE WHEN REPORT_DATE = previous THEN MKT_VAL_BL END')} AS m0 FROM fx_pw, p),
+        t AS (SELECT as_of, {as_double('v1')} AS volume, {_exact_diff('v1', 'v0')} AS delta_volume, {as_double('m1')} AS market,
                      {_exact_diff('m1', 'm0')} AS delta_market FROM s),
         u AS (SELECT *, CASE WHEN delta_volume > 0 THEN '+' WHEN delta_volume < 0 THEN '-' ELSE '' END AS volume_sign,
                      CASE WHEN delta_market > 0 THEN '+' WHEN delta_market < 0 THEN '-' ELSE '' END AS market_sign FROM t)
@@ -299,7 +279,7 @@ _register_movers("top_movers_all_book", "BOOK", "MKT_VAL_BL")
 
 
 def _drivers_sql() -> str:
-    sums = f"{dsum('VOLUME_BL')} AS v, {dsum('MKT_VAL_BL')} AS m"
+    sums = f"{exact_sum('VOLUME_BL')} AS v, {exact_sum('MKT_VAL_BL')} AS m"
     cur, prev = [], []
     for view, dim in delta.DRIVER_VIEWS.items():
         for out, side in ((cur, "latest"), (prev, "previous")):

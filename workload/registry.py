@@ -124,13 +124,23 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def exact_sum(column: str) -> str:
+    """Sum of a money or volume column as a decimal of eight places, null without input."""
+    return f"SUM(CAST({column} AS DECIMAL(28,8)))"
+
+
+def as_double(decimal: str) -> str:
+    """The nearest double: the detour over text keeps all digits."""
+    return f"CAST(CAST({decimal} AS VARCHAR) AS DOUBLE)"
+
+
 def dsum(column: str) -> str:
-    """Exact sum of a money or volume column, 0 when there is nothing to add."""
-    return f"COALESCE(CAST(SUM(CAST({column} AS DECIMAL(18,4))) AS DOUBLE), 0)"
+    """Exact sum, 0 when there is nothing to add."""
+    return f"COALESCE({as_double(exact_sum(column))}, 0)"
 
 
 def dsum_null(column: str) -> str:
-    return f"CAST(SUM(CAST({column} AS DECIMAL(18,4))) AS DOUBLE)"
+    return as_double(exact_sum(column))
 
 
 def round2(expr: str, places: int = 2) -> str:
