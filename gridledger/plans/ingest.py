@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridledger.operators import cube, quality, stats
-from gridledger.session import name_frame
 from gridledger.sources import feeds, tables
 from gridledger.specs import PW, FeedSpec
 
@@ -40,31 +39,74 @@ def ingest_folder(
     paths = feeds.new_files(spark, uri, spec, log)
     if not paths:
         return []
-    headers = feeds.file_headers(spark, paths)
+    ingest_paths(spark, paths, spec, store, declared)
+    return [p.rsplit("/", 1)[1] for p in paths]
+
+
+def ingest_paths(
+    spark: SparkSession,
+    paths: list[str],
+    spec: FeedSpec,
+    store: Store,
+    declared: list[str] | None = None,
+) -> None:
+    """Load the given files of one commodity (see `ingest_folder`)."""
+    # The headers are looked up once; everything after works on this small table.
+    headers = stored_headers(spark, paths, store)
+    good = headers
+    load_id = tables.new_load_id()
     if declared is not None:
         expected = F.array(*[F.lit(c) for c in declared]).alias("columns")
         metadata = spark.range(1).select(F.lit(spec.category).alias("category"), expected)
         verdicts = quality.validate_schema(headers, metadata)
         wrong = headers.join(verdicts.filter(~F.col("is_valid")), "file_name", "left_semi")
-        headers = headers.join(verdicts.filter("is_valid"), "file_name", "left_semi")
-        tables.write_rejected(
-            feeds.read_by_header(wrong, spec), spec.category, store.path("rejected")
-        )
-    clean, junk = quality.strict_load(feeds.read_by_header(headers, spec), spec)
-    tables.write_rejected(junk, spec.category, store.path("rejected"))
-    tables.append_raw(clean, spec.category, store.path("positions"))
-
-    names = [p.rsplit("/", 1)[1] for p in paths]
-    loaded = tables.read_raw(spark, store.path("positions"), spec).join(
-        name_frame(spark, names, "file_name"), "file_name", "left_semi"
-    )
+        good = headers.join(verdicts.filter("is_valid"), "file_name", "left_semi")
+        unread = feeds.read_by_header(wrong, spec)
+        tables.write_rejected(unread, spec.category, store.path("rejected"), load_id)
+    load_rows(spark, feeds.read_by_header(good, spec), spec, store, load_id)
+    finish_load(spark, headers.select("file_name"), spec, store, load_id)
+
+
+def stored_headers(spark: SparkSession, paths: list[str], store: Store) -> DataFrame:
+    """Headers of new files, written to the store so that the text is scanned for them once."""
+    path = store.path(f"headers/{tables.new_load_id()}")
+    feeds.file_headers(spark, paths).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def load_rows(
+    spark: SparkSession, rows: DataFrame, spec: FeedSpec, store: Store, load_id: str
+) -> None:
+    """Write the clean files' rows and the rejected ones under a load id, not yet visible."""
+    clean, junk = quality.strict_load(rows, spec)
+    tables.write_rejected(junk, spec.category, store.path("rejected"), load_id)
+    tables.append_raw(clean, spec.category, store.path("positions"), load_id)
+
+
+def finish_load(
+    spark: SparkSession, files: DataFrame, spec: FeedSpec, store: Store, load_id: str
+) -> None:
+    """Make a load visible and refresh what depends on it. `files` (file_name): all files tried.
+
+    A run that dies before this point leaves no trace for readers; one that dies inside it is
+    repaired by loading the files again.
+    """
+    positions = store.path("positions")
+    tables.announce_versions(files, spec.category, positions, load_id)
+    schema = tables.raw_schema(spec)
+    loaded = tables.load_rows(spark, positions, schema, spec.category, load_id)
     if spec.category == PW.category:
-        refresh_snapshots(spark, store, loaded.select("REPORT_DATE").distinct())
+        # Also the dates that former versions of the files held.
+        ever = spark.read.schema(schema).parquet(positions)
+        held = ever.filter(F.col("category") == spec.category).join(files, "file_name", "left_semi")
+        refresh_snapshots(spark, store, held.select("REPORT_DATE").distinct())
     tables.write_file_stats(
         stats.stats_documents(file_statistics(loaded, spec)), store.path("file_stats")
     )
-    tables.log_ingest(loaded, spec.category, store.path("data_files"))
-    return names
+    log = store.path("data_files")
+    tables.log_ingest(loaded, spec.category, log)
+    done = loaded.select("file_name").distinct()
+    tables.log_unprocessed(files.join(done, "file_name", "left_anti"), spec.category, log)
 
 
 def file_statistics(rows: DataFrame, spec: FeedSpec) -> DataFrame:
@@ -75,11 +117,23 @@ def file_statistics(rows: DataFrame, spec: FeedSpec) -> DataFrame:
 
 
 def refresh_snapshots(spark: SparkSession, store: Store, dates: DataFrame | None = None) -> None:
-    """Rebuild power snapshots from the raw table: of the given report dates, or of all."""
+    """Rebuild power snapshots from the raw table: of the given report dates, or of all.
+
+    A given date that no longer holds positions keeps only a marker row.
+    """
     positions = tables.read_raw(spark, store.path("positions"), PW)
-    if dates is not None:
-        positions = positions.join(dates, "REPORT_DATE", "left_semi")
-    tables.upsert_snapshot(cube.build_cube(positions), PW.category, store.path("snapshots"))
+    if dates is None:
+        tables.upsert_snapshot(cube.build_cube(positions), PW.category, store.path("snapshots"))
+        return
+    positions = positions.join(dates, "REPORT_DATE", "left_semi")
+    built = cube.build_cube(positions)
+    gone = dates.filter("REPORT_DATE IS NOT NULL").join(
+        positions.select("REPORT_DATE").distinct(), "REPORT_DATE", "left_anti"
+    )
+    markers = gone.select("REPORT_DATE", F.lit(tables.RETIRED).alias("view"))
+    tables.upsert_snapshot(
+        built.unionByName(markers, allowMissingColumns=True), PW.category, store.path("snapshots")
+    )
 
 
 def rebuild_snapshots(spark: SparkSession, store: Store) -> None:

@@ -1,18 +1,27 @@
-"""Stored tables: partitioned positions, snapshots, logs and exports.
+"""Stored tables: positions, snapshots, logs and exports.
 
-Tables are append-only Parquet folders or are replaced by whole partitions, so a job that
-loses executors or is run again leaves the same table behind.
+Positions and rejected rows are append-only Parquet tables. Every load writes its rows under a load
+id of its own and then, as the last step, names the loaded files and that id in a small table of file
+versions. Reading takes the newest version of each file, so a file that is loaded again replaces its
+former rows wherever they lie, a rejected file that comes back mended leaves the rejected table, and
+a load that failed half way is never seen. Snapshots and statistics are replaced by whole partitions.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from gridledger.operators.files import ingest_entries
 from gridledger.specs import FeedSpec
 
+VERSIONS = "category string, file_name string, load_id string"
+
 
 def _replace_partitions(rows: DataFrame, keys: list[str], path: str) -> None:
     """Write rows, replacing exactly the partitions they belong to."""
@@ -24,30 +33,116 @@ def _replace_partitions(rows: DataFrame, keys: list[str], path: str) -> None:
     )
 
 
-def append_raw(rows: DataFrame, category: str, path: str) -> None:
-    """Add the files' positions to the raw table, partitioned by commodity, date and file.
+def new_load_id() -> str:
+    """Ids sort by the time they were drawn."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
-    A file that is loaded again replaces its own partitions, so a job that failed half way can
-    simply be rerun. Every scan task writes the rows it read; nothing is shuffled, and a very
-    large file is written by as many tasks as read it.
-    """
-    _replace_partitions(
-        rows.withColumn("category", F.lit(category)),
-        ["category", "REPORT_DATE", "file_name"],
-        path,
+
+def _versions_path(path: str) -> str:
+    return f"{path.rstrip('/').rsplit('/', 1)[0]}/file_versions"
+
+
+def _append_load(
+    rows: DataFrame, category: str, path: str, load_id: str | None, keys: list[str]
+) -> None:
+    """Add rows under a load id. With an id of its own, the load is announced here and now."""
+    own = load_id or new_load_id()
+    marked = rows.withColumns({"category": F.lit(category), "load_id": F.lit(own)})
+    marked.write.mode("append").partitionBy(*keys).parquet(path)
+    if load_id is None:
+        written = load_rows(rows.sparkSession, path, marked.schema, category, own)
+        announce_versions(written.select("file_name").distinct(), category, path, own)
+
+
+def announce_versions(files: DataFrame, category: str, path: str, load_id: str) -> None:
+    """Make `load_id` the newest version of the files (file_name)."""
+    files.select(
+        F.lit(category).alias("category"), "file_name", F.lit(load_id).alias("load_id")
+    ).write.mode("append").parquet(_versions_path(path))
+
+
+def load_rows(
+    spark: SparkSession, path: str, schema: T.StructType, category: str, load_id: str
+) -> DataFrame:
+    """Rows of one load, read with a declared schema."""
+    return (
+        spark.read.schema(schema)
+        .parquet(path)
+        .filter((F.col("category") == category) & (F.col("load_id") == load_id))
     )
 
 
-def write_rejected(rows: DataFrame, category: str, path: str) -> None:
-    """Keep the raw rows of rejected files, by commodity and file."""
-    _replace_partitions(
-        rows.withColumn("category", F.lit(category)), ["category", "file_name"], path
+def live_versions(spark: SparkSession, path: str) -> DataFrame:
+    """Newest load id of each file of the store that `path` lies in."""
+    return (
+        spark.read.schema(VERSIONS)
+        .parquet(_versions_path(path))
+        .groupBy("category", "file_name")
+        .agg(F.max("load_id").alias("load_id"))
     )
 
 
+def append_raw(rows: DataFrame, category: str, path: str, load_id: str | None = None) -> None:
+    """Add the files' positions to the raw table, partitioned by commodity and date.
+
+    Rows are laid out by date before they are written: files grow with the data, not with
+    tasks, feed files and dates, and an oversized date is still split. A caller that gives a
+    `load_id` makes the files' versions known itself, once all parts of the load are written.
+    """
+    laid_out = rows.hint("rebalance", "REPORT_DATE")
+    _append_load(laid_out, category, path, load_id, ["category", "REPORT_DATE"])
+
+
+def write_rejected(rows: DataFrame, category: str, path: str, load_id: str | None = None) -> None:
+    """Keep the raw rows of rejected files, by commodity."""
+    laid_out = rows.hint("rebalance", "file_name")
+    _append_load(laid_out, category, path, load_id, ["category"])
+
+
+def raw_schema(spec: FeedSpec) -> T.StructType:
+    """Declared columns of a commodity in the raw table; files without one read as null."""
+    extra = [T.StructField(n, T.StringType()) for n in ("file_name", "load_id", "category")]
+    return T.StructType([*spec.schema.fields, *extra])
+
+
+def _live(rows: DataFrame, path: str) -> DataFrame:
+    versions = live_versions(rows.sparkSession, path)
+    return rows.join(versions, ["category", "file_name", "load_id"], "left_semi").drop("load_id")
+
+
 def read_raw(spark: SparkSession, path: str, spec: FeedSpec) -> DataFrame:
-    """Positions of one commodity; the filter prunes the other commodities' folders."""
-    return spark.read.parquet(path).filter(F.col("category") == spec.category)
+    """Positions of one commodity, by its declared schema; filters prune commodities and dates."""
+    rows = spark.read.schema(raw_schema(spec)).parquet(path)
+    return _live(rows.filter(F.col("category") == spec.category), path)
+
+
+def read_rejected(spark: SparkSession, path: str, spec: FeedSpec) -> DataFrame:
+    """Rows of the commodity's files whose newest version was rejected, as text."""
+    fields = [T.StructField(c, T.StringType()) for c in (*spec.columns, "file_name", "load_id", "category")]
+    rows = spark.read.schema(T.StructType(fields)).parquet(path)
+    return _live(rows.filter(F.col("category") == spec.category), path)
+
+
+def report_dates(spark: SparkSession, path: str, category: str) -> tuple:
+    """(latest, previous) report date of a stored snapshot or raw table, from its partitions.
+
+    Only partition values are read: dates are few, and no position is opened.
+    """
+    dates = (
+        spark.read.schema("category string, REPORT_DATE date")
+        .parquet(path)
+        .filter((F.col("category") == category) & F.col("REPORT_DATE").isNotNull())
+        .select("REPORT_DATE")
+        .distinct()
+        .orderBy(F.desc("REPORT_DATE"))
+        .limit(2)
+        .collect()
+    )
+    found = [r["REPORT_DATE"] for r in dates]
+    return (*found, None, None)[:2]
+
+
+RETIRED = "retired"  # view of the marker row of a report date that lost all its positions
 
 
 def upsert_snapshot(cube: DataFrame, category: str, path: str) -> None:
@@ -60,6 +155,24 @@ def upsert_snapshot(cube: DataFrame, category: str, path: str) -> None:
     )
 
 
+def read_snapshots(spark: SparkSession, path: str, category: str) -> DataFrame:
+    """Snapshot rows of one commodity, without marker rows."""
+    rows = spark.read.parquet(path)
+    return rows.filter((F.col("category") == category) & (F.col("view") != RETIRED))
+
+
+def log_unprocessed(files: DataFrame, category: str, path: str) -> None:
+    """Append one log entry per file (file_name) that was rejected or held no rows."""
+    files.select(
+        "file_name",
+        F.lit(category).alias("category"),
+        F.lit(None).cast("date").alias("report_date"),
+        F.lit(0).cast("bigint").alias("n_rows"),
+        F.lit(0).alias("is_processed"),
+        F.current_timestamp().alias("uploaded_at"),
+    ).write.mode("append").parquet(path)
+
+
 def log_ingest(rows: DataFrame, category: str, path: str) -> None:
     """Append one log entry per loaded file."""
     entries = ingest_entries(rows.withColumn("category", F.lit(category))).withColumns(

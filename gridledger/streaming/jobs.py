@@ -7,25 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridledger.functions.text import feed_of_name, route_feed
-from gridledger.operators import cube
-from gridledger.operators.quality import strict_load
+from gridledger.plans import ingest
 from gridledger.plans.ingest import Store
 from gridledger.sources import tables
-from gridledger.sources.feeds import CSV_FILES, source_file
+from gridledger.sources.feeds import CSV_FILES
 from gridledger.specs import PW, FeedSpec
 
 
-def feed_stream(
-    spark: SparkSession, uri: str, spec: FeedSpec, columns: list[str] | None = None
-) -> DataFrame:
-    """New CSV files of one commodity as text rows. `columns` is the header they share."""
-    names = columns or list(spec.columns)
+def file_stream(spark: SparkSession, uri: str, spec: FeedSpec) -> DataFrame:
+    """CSV files of one commodity as they arrive: (path, file_name), contents unread."""
     return (
-        spark.readStream.schema(", ".join(f"`{n}` string" for n in names))
-        .option("header", True)
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("pathGlobFilter", CSV_FILES)
-        .csv(uri)
-        .select("*", source_file("file_name").alias("file_name"))
+        .load(uri)
+        .select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"))
         .filter(route_feed("file_name") == spec.category)
     )
 
@@ -35,22 +31,22 @@ def stream_ingest(
     uri: str,
     spec: FeedSpec,
     store: Store,
-    columns: list[str] | None = None,
+    declared: list[str] | None = None,
 ) -> StreamingQuery:
-    """Add files that arrived since the last run to the raw table.
+    """Load files that arrived since the last run, by the same steps as the batch ingest.
 
-    The stream's checkpoint remembers the files seen, which replaces a processed flag. A file
-    is never split over batches and replaces its own partitions, so a replayed batch leaves
-    the table unchanged.
+    The stream's checkpoint remembers the files seen, which replaces the processed flag. Each file is
+    read by its own header, validated, logged and summed up; a replayed batch loads its files
+    again, and their newest version counts.
     """
 
     def load(batch: DataFrame, _: int) -> None:
-        clean, junk = strict_load(batch, spec)
-        tables.append_raw(clean, spec.category, store.path("positions"))
-        tables.write_rejected(junk, spec.category, store.path("rejected"))
+        paths = sorted(r["path"] for r in batch.select("path").toLocalIterator())
+        if paths:
+            ingest.ingest_paths(batch.sparkSession, paths, spec, store, declared)
 
     return (
-        feed_stream(spark, uri, spec, columns)
+        file_stream(spark, uri, spec)
         .writeStream.trigger(availableNow=True)
         .option("checkpointLocation", store.path(f"checkpoints/ingest_{spec.category}"))
         .foreachBatch(load)
@@ -64,14 +60,11 @@ def stream_snapshots(spark: SparkSession, store: Store) -> StreamingQuery:
     Each batch recomputes whole report dates from the raw table and replaces their partitions,
     so a replayed batch writes the same result again.
     """
-    schema = spark.read.parquet(store.path("positions")).schema
-    arrived = spark.readStream.schema(schema).parquet(store.path("positions"))
+    arrived = spark.readStream.schema(tables.raw_schema(PW)).parquet(store.path("positions"))
 
     def refresh(batch: DataFrame, _: int) -> None:
         touched = batch.filter(F.col("category") == PW.category).select("REPORT_DATE").distinct()
-        positions = tables.read_raw(batch.sparkSession, store.path("positions"), PW)
-        affected = positions.join(touched, "REPORT_DATE", "left_semi")
-        tables.upsert_snapshot(cube.build_cube(affected), PW.category, store.path("snapshots"))
+        ingest.refresh_snapshots(batch.sparkSession, store, touched)
 
     return (
         arrived.writeStream.trigger(availableNow=True)

@@ -95,7 +95,10 @@ def test_ingest(spark, inbox, tmp_path):
     assert {r["file_name"] for r in rejected.collect()} == {"NOP_PW_junk.csv", "NOP_PW_short.csv"}
 
     log = tables.read_log(spark, store.path("data_files"))
-    assert {r["file_name"]: r["n_rows"] for r in log.collect()} == {"NOP_PW_a.csv": 2, "nop_pw_b.CSV": 1}
+    done = log.filter("is_processed = 1").collect()
+    assert {r["file_name"]: r["n_rows"] for r in done} == {"NOP_PW_a.csv": 2, "nop_pw_b.CSV": 1}
+    undone = {r["file_name"] for r in log.filter("is_processed = 0").collect()}
+    assert undone == {"NOP_PW_junk.csv", "NOP_PW_short.csv"}
 
     snapshots = spark.read.parquet(store.path("snapshots"))
     before = sorted(map(tuple, snapshots.collect()), key=repr)

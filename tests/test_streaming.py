@@ -33,18 +33,20 @@ def test_ingest_and_snapshots(spark, tmp_path):
     store = Store(str(tmp_path / "store"))
     write(inbox, "NOP_PW_1.csv", ["05-11-2024", "05-11-2024"])
     write(inbox, "NOP_CO2_1.csv", ["05-11-2024"])
-    run(jobs.stream_ingest(spark, str(inbox), PW, store, HEADER))
+    run(jobs.stream_ingest(spark, str(inbox), PW, store))
     run(jobs.stream_snapshots(spark, store))
     positions = tables.read_raw(spark, store.path("positions"), PW)
     assert positions.count() == 2 and positions.first()["VOLUME_BL"] == 1000.5
 
     write(inbox, "NOP_PW_2.csv", ["05-11-2024", "06-11-2024"])
     write(inbox, "NOP_PW_bad.csv", ["06-11-2024"], volume="junk")
-    run(jobs.stream_ingest(spark, str(inbox), PW, store, HEADER))
+    run(jobs.stream_ingest(spark, str(inbox), PW, store))
     run(jobs.stream_snapshots(spark, store))
     positions = tables.read_raw(spark, store.path("positions"), PW)
     assert positions.count() == 4
-    assert spark.read.parquet(store.path("rejected")).count() == 1
+    assert tables.read_rejected(spark, store.path("rejected"), PW).count() == 1
+    log = {r["file_name"]: r["is_processed"] for r in tables.read_log(spark, store.path("data_files")).collect()}
+    assert log == {"NOP_PW_1.csv": 1, "NOP_PW_2.csv": 1, "NOP_PW_bad.csv": 0}
 
     columns = ["REPORT_DATE", "view", "member", "label", "volume_bl", "market_val"]
     columns = [c for c in cube.build_cube(positions).columns]
