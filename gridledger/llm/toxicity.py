@@ -37,7 +37,6 @@ from gridledger.llm.common import map_arrow, mix64, stored, strings
 WORD = re.compile(r"[^\W_]+")
 CODE = 4  # output bytes per input byte of a window
 LADDER = (1, 3, 6, 9, 12, 16)  # thresholds on the difference of lengths
-N_FEATURES = 2 * len(LADDER) + 2
 CACHED = 300_000  # windows whose differences a worker remembers
 MAX_WORD = 64  # characters of a window; a longer word is cut into several
 
@@ -107,13 +106,15 @@ class Scorer:
         row = []
         for step in LADDER:
             above = int((gains >= step).sum())
-            row += [math.log1p(above), above / math.sqrt(n)]
-        return [*row, math.log(n), float(max(0, gains.max(initial=0)))]
+            row += [math.log1p(above), above / math.sqrt(n), above / n]
+        # Length alone is no evidence: it only scales counts.
+        return [*row, float(max(0, gains.max(initial=0)))]
 
 
 def logistic(rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ridge logistic regression by Newton steps: centre, scale, weights (the last is constant)."""
-    centre, scale = rows.mean(0), rows.std(0) + 1e-9
+    centre, scale = rows.mean(0), rows.std(0)
+    scale[scale < 1e-6] = 1.0  # a feature that never varied gets no weight
     x = np.c_[(rows - centre) / scale, np.ones(len(rows))]
     weights = np.zeros(x.shape[1])
     ridge = np.eye(len(weights))
