@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridledger.operators import cube, quality, stats
+from gridledger.session import drop_folder
 from gridledger.sources import feeds, tables
 from gridledger.specs import PW, FeedSpec
 
@@ -77,10 +78,16 @@ def stored_headers(spark: SparkSession, paths: list[str], store: Store) -> DataF
 def load_rows(
     spark: SparkSession, rows: DataFrame, spec: FeedSpec, store: Store, load_id: str
 ) -> None:
-    """Write the clean files' rows and the rejected ones under a load id, not yet visible."""
-    clean, junk = quality.strict_load(rows, spec)
+    """Write the clean files' rows and the rejected ones under a load id, not yet visible.
+
+    The text is parsed once, into a staging table that the later passes read.
+    """
+    staging = store.path(f"staging/{load_id}")
+    rows.write.parquet(staging)
+    clean, junk = quality.strict_load(spark.read.schema(rows.schema).parquet(staging), spec)
     tables.write_rejected(junk, spec.category, store.path("rejected"), load_id)
     tables.append_raw(clean, spec.category, store.path("positions"), load_id)
+    drop_folder(spark, staging)
 
 
 def finish_load(

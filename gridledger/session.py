@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, app: str = "gridledger", **conf: str) -> SparkSession:
@@ -52,7 +51,7 @@ def new_table_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def name_frame(spark: SparkSession, names: list[str], column: str) -> DataFrame:
-    """A listed set of names as a frame whose small size the planner can see."""
-    listed = F.lit(names).cast("array<string>") if names else F.array().cast("array<string>")
-    return spark.range(1).select(F.explode(listed).alias(column))
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote and no longer needs, on whatever file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
