@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests import oracle
+from workload import registry
 
-SQL = entry.oracle_sql()
+SQL = registry.SQL
 
 
 @pytest.fixture(scope="module")
@@ -14,12 +15,13 @@ def duck(sf_dir):
 
 
 def test_every_sql_has_a_query():
-    assert set(SQL) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(registry.QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, sf_dir, duck, name):
-    frame = entry.queries()[name](spark, sf_dir)
+    frame = registry.QUERIES[name](spark, sf_dir)
     if name not in SQL:
         assert frame.count() >= 0
         return
