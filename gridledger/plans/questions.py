@@ -28,12 +28,15 @@ def chart_answers(
     date, before any question is looked at.
     """
     metrics = present_dims(stats, list(spec.metric_catalog.values()))
-    per_date = stats.groupBy(F.col("REPORT_DATE").alias("Date"))
-    bars = to_long(per_date.agg(*[total_or_0(m).alias(m) for m in metrics]), metrics, "Date")
-    series = to_long(per_date.agg(*[mean(m).alias(m) for m in metrics]), metrics, "Date")
-    values = bars.withColumn("kind", F.lit("bar")).unionByName(
-        series.withColumn("kind", F.lit("series"))
+    figures = {("bar", m): total_or_0(m) for m in metrics} | {("series", m): mean(m) for m in metrics}
+    per_date = stats.groupBy(F.col("REPORT_DATE").alias("Date")).agg(
+        *[figure.alias(f"{kind}_{m}") for (kind, m), figure in figures.items()]
     )
+    cells = [
+        F.struct(F.lit(m).alias("Metric"), F.lit(kind).alias("kind"), F.col(f"{kind}_{m}").alias("Value"))
+        for kind, m in figures
+    ]
+    values = per_date.select("Date", F.inline(F.array(*cells)))
     named = select_metrics(read_prompts(prompts), spec, metrics)
     asked = named.select(
         key,
