@@ -202,7 +202,34 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.mask(docs, DEMONSTRATION_KEY, count="n_replaced")
 
 
-@query("op7_repeated_bytes")
+# Hexadecimal text has two letters per byte, so that places in it are byte places.
+REPEATED_BYTES_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT r, i, md5_number(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)
+), rep AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1
+), marked AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS starts FROM rep
+), grouped AS (
+  SELECT r, i, sum(starts) OVER (PARTITION BY r ORDER BY i) AS g FROM marked
+), spans AS (
+  SELECT r, g, min(i) AS a, max(i) + 400 AS e FROM grouped GROUP BY r, g
+), gaps AS (
+  SELECT r, a, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY a) AS b FROM spans
+), cut AS (
+  SELECT d.r, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) || substr(any_value(h), 2 * max(e) + 1) AS kept,
+         sum(e - a) AS n_removed, count(*) AS n_spans
+  FROM d JOIN gaps ON gaps.r = d.r GROUP BY d.r
+)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(cut.n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(cut.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(cut.kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.r = d.r
+"""
+
+
+@query("op7_repeated_bytes", REPEATED_BYTES_SQL)
 def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removals(table(spark, sf_dir, "documents")).drop("kept")
 
