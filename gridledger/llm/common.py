@@ -33,6 +33,17 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+BATCH_ROWS = 1000  # rows of an Arrow batch: texts are long, and a task holds a batch several times
+
+
+def in_small_batches(frame: DataFrame) -> DataFrame:
+    """The frame itself, with the session's Arrow batches bounded for what maps over it."""
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return frame
+
+
 def map_arrow(
     frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
@@ -45,7 +56,7 @@ def map_arrow(
                 if out is not None and out.num_rows:
                     yield out
 
-    return frame.mapInArrow(run, schema)
+    return in_small_batches(frame).mapInArrow(run, schema)
 
 
 def strings(column: pa.Array) -> list[str]:
@@ -190,7 +201,8 @@ def map_units(
             if out is not None:
                 yield from out.to_batches()
 
-    return frame.repartition(unit).sortWithinPartitions(unit).mapInArrow(run, schema)
+    placed = in_small_batches(frame).repartition(unit).sortWithinPartitions(unit)
+    return placed.mapInArrow(run, schema)
 
 
 def slices(cost: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:

@@ -32,7 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.common import Words, lowered, map_arrow, pieces, strings
+from gridledger.llm.common import (
+    Words,
+    in_small_batches,
+    lowered,
+    map_arrow,
+    pieces,
+    strings,
+)
 
 
 @dataclass(frozen=True)
@@ -145,7 +152,7 @@ def _each_text(frame: DataFrame, per_partition, schema: str) -> DataFrame:
 
         yield from per_partition(texts())
 
-    return frame.select("text").mapInArrow(run, schema)
+    return in_small_batches(frame.select("text")).mapInArrow(run, schema)
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -427,4 +434,6 @@ def clean(docs: DataFrame, found: list[Model]) -> DataFrame:
             keep[hit[0]] = False
         return batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(lambda batches: map(work, batches), docs.schema) if found else docs
+    if not found:
+        return docs
+    return in_small_batches(docs).mapInArrow(lambda batches: map(work, batches), docs.schema)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.common import map_arrow, mix64, stored, strings
+from gridledger.llm.common import in_small_batches, map_arrow, mix64, stored, strings
 
 WORD = re.compile(r"[^\W_]+")
 CODE = 4  # output bytes per input byte of a window
@@ -297,4 +297,4 @@ def reject(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> Data
         keep = pa.array([model.score(t) < threshold for t in texts], pa.bool_())
         return batch.filter(keep)
 
-    return docs.mapInArrow(lambda batches: (work(b) for b in batches), docs.schema)
+    return in_small_batches(docs).mapInArrow(lambda batches: map(work, batches), docs.schema)
