@@ -4,9 +4,10 @@ Documents are cut into passages of 64 words that overlap by half. A passage is a
 benchmark's terms; terms of more than a tenth of all documents weigh nothing, and words that the
 benchmark lacks add to a passage's length only. A randomised SVD of all passages gives the latent
 directions of the corpus: one distributed pass computes Z = A'A O for a random O, and the Nystrom form
-of the decomposition follows from Z alone. The directions of the benchmark's own passages complete the
-space, so that none of them is lost in it. Another pass projects all passages and compares them with all benchmark passages by cosine. Candidates
-are checked on the words: the longest common subsequence with the neighbourhood of the passage,
+of the decomposition follows from Z alone. Another pass compares all passages with all benchmark
+passages. A candidate is near by the TF-IDF cosine, or near by the cosine within the latent space alone
+(the query folded in, both sides normalised there) while it holds half of the words that the sequence
+check needs. Candidates are checked on the words: the longest common subsequence with the neighbourhood of the passage,
 and the share of the answer found there in order (column `answer`; without it, the last sentence). A
 nearly verbatim copy needs the sequence only, a paraphrase needs both.
 
@@ -50,6 +51,7 @@ class Settings:
     oversampling: int = 8
     block_items: int = 256  # benchmark passages per model
     cosine: float = 0.2  # candidates
+    latent: float = 0.7  # candidates within the latent space
     verbatim: float = 0.75  # share of an item's words in common sequence
     paraphrase: float = 0.6  # the same, if the answer is there too
     answer: float = 0.8
@@ -66,6 +68,7 @@ class Model:
     queries: list[tuple]  # item_id, words of the item, word hashes, answer hashes
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     top_idf: float = 1.0
+    own: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # query passages by term
     space: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
 
@@ -102,6 +105,7 @@ class Passages:
         self.words = words = Words(texts)
         at = np.minimum(np.searchsorted(model.terms, words.hash), len(model.terms) - 1)
         known = model.terms[at] == words.hash
+        self.at = np.where(known, at, len(model.terms))  # term of each word, or one past the last
         weight = np.where(known, model.idf[at], model.top_idf)
         n = np.diff(words.first)
         count = np.maximum(1, -(-n // half) - 1)  # passages of each text
@@ -120,16 +124,25 @@ class Passages:
         weight = np.concatenate((weight, weight[again]))
         outside = term < 0
         length2 = np.bincount(passage[outside], weight[outside] ** 2, minlength=int(self.first[-1]))
-        keep = ~outside & (weight > 0)
         # Repeated terms of a passage add up.
-        key, back = np.unique(passage[keep] * np.int64(len(model.terms)) + term[keep], return_inverse=True)
-        value = np.bincount(back, weight[keep], minlength=len(key))
+        key, back = np.unique(passage[~outside] * np.int64(len(model.terms)) + term[~outside], return_inverse=True)
+        value = np.bincount(back, weight[~outside], minlength=len(key))
+        self.held, self.n_terms = key, len(model.terms)
+        key, value = key[value > 0], value[value > 0]
         self.passage, self.term = key // len(model.terms), key % len(model.terms)
         inside2 = np.bincount(self.passage, value**2, minlength=len(length2))
         length = np.sqrt(length2 + inside2)
         self.value = value / np.maximum(length[self.passage], 1e-12)
         self.share = np.sqrt(inside2) / np.maximum(length, 1e-12)
 
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of each passage and of the half window after it, whatever they weigh: (passage, term)."""
+        passage = self.held // self.n_terms
+        later = passage > self.first[self.text[passage]]
+        key = np.sort(np.concatenate((self.held, self.held[later] - self.n_terms)))
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+        return key // self.n_terms, key % self.n_terms
+
     def project(self, space: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Rows of the wanted passages times `space`."""
         out = np.zeros((len(wanted), space.shape[1]), space.dtype)
@@ -140,6 +153,20 @@ class Passages:
         return out
 
 
+def row_sums(row: np.ndarray, term: np.ndarray, table: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the table's rows over the terms of each of n rows; `row` is sorted."""
+    size = np.bincount(row, minlength=n)
+    order = np.argsort(-size, kind="stable")
+    starts = (np.cumsum(size) - size)[order]
+    sums = np.zeros((n, table.shape[1]), table.dtype)
+    for j in range(int(size.max(initial=0))):
+        active = int((size > j).sum())
+        sums[:active] += table[term[starts[:active] + j]]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
 def _each_text(frame: DataFrame, per_partition, schema: str) -> DataFrame:
     """Run over all texts of a partition; `per_partition` gets an iterator of lists of bytes."""
 
@@ -263,9 +290,8 @@ def train(docs: DataFrame, rows: list, settings: Settings = Settings()) -> Model
     probe = np.linalg.qr(np.random.default_rng(settings.seed).standard_normal((len(model.terms), width)))[0]
     image, n = corpus_sketch(docs, model, probe.astype(np.float32))
     corpus = nystrom(probe, image, settings.rank) if n and image.any() else probe[:, :0]
-    left, size, _ = np.linalg.svd(np.hstack((own.T, corpus)), full_matrices=False)
-    model.space = left[:, size > 1e-6 * size.max()].astype(np.float32)
-    latent = own @ model.space
+    model.own, model.space = own.astype(np.float32), corpus.astype(np.float32)
+    latent = own @ corpus
     model.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     return model
 
@@ -278,8 +304,9 @@ def nystrom(probe: np.ndarray, image: np.ndarray, rank: int) -> np.ndarray:
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > 1e-12 * values.max()
     half = image @ (vectors[:, good] / np.sqrt(values[good]))
-    left, _, _ = np.linalg.svd(half, full_matrices=False)
-    return left[:, :rank]
+    left, size, _ = np.linalg.svd(half, full_matrices=False)
+    # Sums come in single precision: what is smaller than this is noise and no direction.
+    return left[:, size**2 > 1e-6 * size[0] ** 2][:, :rank]
 
 
 def common_sequence(words: np.ndarray, masks: dict[int, int], n: int) -> int:
@@ -307,22 +334,30 @@ class Finder:
     def __init__(self, model: Model):
         self.model = model
         self.masks = [(bit_masks(q[2]), bit_masks(q[3])) for q in model.queries]
+        self.own = np.ascontiguousarray(model.own.T)
+        settings = model.settings
+        # How often each query has a term, and of how many words the sequence check needs to meet.
+        kind = np.uint8 if settings.window < 256 else np.uint32
+        self.times = np.zeros((len(model.terms), len(model.queries)), kind)
+        self.need = np.zeros(len(model.queries), kind)
+        for q, (_, n_words, words, _) in enumerate(model.queries):
+            np.add.at(self.times[:, q], np.searchsorted(model.terms, words), 1)
+            share = 1.0 if n_words < settings.short else min(settings.verbatim, settings.paraphrase)
+            self.need[q] = int(np.ceil(share * len(words) - 1e-9))
+        self.asked = [np.unique(np.searchsorted(model.terms, q[2]), return_counts=True) for q in model.queries]
+        self.met = np.zeros(len(model.terms) + 1, bool)
 
     def find(self, texts: list[bytes]) -> list[tuple[int, object, float, float, float]]:
         """(text index, item_id, best cosine, share of common sequence, share of the answer)."""
         model, settings = self.model, self.model.settings
         rows = Passages(texts, model)
-        # A passage whose weight lies outside the benchmark's terms cannot reach the cosine.
-        wanted = np.flatnonzero(rows.share >= settings.cosine)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for a in range(0, len(wanted), 4096):
-            part = wanted[a : a + 4096]
-            cosine = rows.project(model.space, part) @ model.latent.T
-            for i, q in zip(*np.nonzero(cosine >= settings.cosine)):
-                passage = int(part[i])
-                score = self._check(rows, passage, int(q), float(cosine[i, q]))
-                key = (int(rows.text[passage]), int(q))
-                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), score)
+        for passage, q, cosine in self.candidates(rows):
+            score = self._check(rows, passage, q, cosine)
+            if score is None:
+                continue
+            key = (int(rows.text[passage]), q)
+            best[key] = max(best.get(key, (0.0, 0.0, 0.0)), score)
         items: dict[tuple[int, object], list[float]] = {}
         for (text, q), (sequence, answer, cosine) in best.items():
             item, n_words, words, tail = model.queries[q]
@@ -341,14 +376,42 @@ class Finder:
             (text, item, s[0], s[1], s[2]) for (text, item), s in sorted(items.items(), key=lambda x: x[0][0]) if s[3] >= 0.5
         ]
 
-    def _check(self, rows: Passages, passage: int, q: int, cosine: float) -> tuple[float, float, float]:
-        """Shares of a query and its answer around a passage."""
+    def candidates(self, rows: Passages) -> Iterator[tuple[int, int, float]]:
+        """(passage, query, TF-IDF cosine) of all pairs to check on the words."""
+        model, settings = self.model, self.model.settings
+        within, term = rows.spans()
+        for a in range(0, int(rows.first[-1]), 2048):
+            n = min(2048, int(rows.first[-1]) - a)
+            b, e = np.searchsorted(within, (a, a + n))
+            held = row_sums(within[b:e] - a, term[b:e], self.times, n)
+            some = held >= (self.need + 1) // 2
+            # A passage whose weight lies outside the benchmark's terms cannot reach the cosine.
+            wanted = np.flatnonzero(rows.share[a : a + n] >= settings.cosine)
+            cosine = np.zeros((n, len(model.queries)), np.float32)
+            cosine[wanted] = rows.project(self.own, wanted + a)
+            wanted = np.flatnonzero(some.any(1))
+            folded = rows.project(model.space, wanted + a)
+            folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
+            meant = cosine >= settings.cosine
+            meant[wanted] |= some[wanted] & (folded @ model.latent.T >= settings.latent)
+            for i, q in zip(*np.nonzero(meant)):
+                yield a + int(i), int(q), float(cosine[i, q])
+
+    def _check(self, rows: Passages, passage: int, q: int, cosine: float) -> tuple[float, float, float] | None:
+        """Shares of a query and its answer around a passage; None where too few of its words stand."""
         _, _, words, tail = self.model.queries[q]
         text = rows.text[passage]
         first, end = rows.words.first[text], rows.words.first[text + 1]
         half = self.model.settings.window // 2
         begin = first + (passage - rows.first[text]) * half
-        region = rows.words.hash[max(first, begin - len(words)) : min(end, begin + 3 * half + len(words))]
+        near = slice(max(first, begin - len(words)), min(end, begin + 3 * half + len(words)))
+        terms, times = self.asked[q]
+        self.met[rows.at[near]] = True
+        enough = int(times[self.met[terms]].sum()) >= self.need[q]
+        self.met[rows.at[near]] = False
+        if not enough:
+            return None
+        region = rows.words.hash[near]
         sequence = common_sequence(region, self.masks[q][0], len(words)) / len(words)
         answer = common_sequence(region, self.masks[q][1], len(tail)) / len(tail) if len(tail) else 1.0
         return sequence, answer, cosine

@@ -110,3 +110,20 @@ def test_awkward_rows(spark):
     assert decontam.models(docs, none) == []
     assert decontam.clean(docs, []).count() == 14
     assert decontam.search(cases.empty(spark), decontam.models(cases.empty(spark), benchmark)).count() == 0
+
+
+def test_paraphrase_found_by_the_corpus_directions_only(spark):
+    """Rare words replaced by their companions of other documents: no weighted term is shared."""
+    common, ours, theirs = ([f"{k}{i}" for i in range(n)] for k, n in (("common", 42), ("ours", 18), ("theirs", 36)))
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.permutation(common)) + " " + cases.prose(i, 60)) for i in range(200)]
+    rows += [(200 + i, " ".join(rng.permutation(ours + theirs))) for i in range(15)]
+    item = [w for i in range(18) for w in (common[2 * i], ours[i], common[2 * i + 1])] + common[36:]
+    asked = " ".join(item[:-6]) + ". " + " ".join(item[-6:])
+    changed = [w for i, c in enumerate(common) for w in (c, *theirs[2 * (i % 18) : 2 * (i % 18) + 2], theirs[(7 * i) % 36])]
+    rows.append((300, " ".join(changed)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, asked), (2, " ".join(theirs))], "item_id long, text string")
+    hits = {n: {(r["doc_id"], r["item_id"]): r["cosine"] for r in decontam.search(docs, decontam.models(docs, benchmark, decontam.Settings(rank=n))).collect()} for n in (0, 1)}
+    assert (300, 1) not in hits[0] and hits[1][300, 1] == 0
+    assert (0, 1) not in hits[1]
