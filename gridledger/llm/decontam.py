@@ -5,7 +5,9 @@ benchmark's terms; terms of more than a tenth of all documents weigh nothing, an
 benchmark lacks add to a passage's length only. A randomised SVD of all passages gives the latent
 directions of the corpus: one distributed pass computes Z = A'A O for a random O, and the Nystrom form
 of the decomposition follows from Z alone. Another pass compares all passages with all benchmark
-passages. A candidate is near by the TF-IDF cosine, or near by the cosine within the latent space alone
+passages. A passage with the half window after it that holds as many of an item's words as the sequence
+check needs is a candidate, whatever the words weigh, however large the corpus and whatever stands around:
+no match within a window is lost. Beyond that, a candidate is near by the TF-IDF cosine, or near by the cosine within the latent space alone
 (the query folded in, both sides normalised there) while it holds half of the words that the sequence
 check needs. Candidates are checked on the words: the longest common subsequence with the neighbourhood of the passage,
 and the share of the answer found there in order (column `answer`; without it, the last sentence). A
@@ -384,16 +386,19 @@ class Finder:
             n = min(2048, int(rows.first[-1]) - a)
             b, e = np.searchsorted(within, (a, a + n))
             held = row_sums(within[b:e] - a, term[b:e], self.times, n)
-            some = held >= (self.need + 1) // 2
+            some = held >= (self.need + 1) // 2  # the latent space decides on these
             # A passage whose weight lies outside the benchmark's terms cannot reach the cosine.
-            wanted = np.flatnonzero(rows.share[a : a + n] >= settings.cosine)
+            near = rows.share[a : a + n] >= settings.cosine
+            wanted = np.flatnonzero(near)
             cosine = np.zeros((n, len(model.queries)), np.float32)
             cosine[wanted] = rows.project(self.own, wanted + a)
             wanted = np.flatnonzero(some.any(1))
             folded = rows.project(model.space, wanted + a)
             folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
-            meant = cosine >= settings.cosine
+            meant = (held >= self.need) | (cosine >= settings.cosine)
             meant[wanted] |= some[wanted] & (folded @ model.latent.T >= settings.latent)
+            rest = np.flatnonzero(meant.any(1) & ~near)
+            cosine[rest] = rows.project(self.own, rest + a)
             for i, q in zip(*np.nonzero(meant)):
                 yield a + int(i), int(q), float(cosine[i, q])
 

@@ -127,3 +127,22 @@ def test_paraphrase_found_by_the_corpus_directions_only(spark):
     hits = {n: {(r["doc_id"], r["item_id"]): r["cosine"] for r in decontam.search(docs, decontam.models(docs, benchmark, decontam.Settings(rank=n))).collect()} for n in (0, 1)}
     assert (300, 1) not in hits[0] and hits[1][300, 1] == 0
     assert (0, 1) not in hits[1]
+
+
+def test_copies_are_found_whatever_the_words_weigh(spark):
+    common = [f"common{i}" for i in range(18)]
+    rows = [(i, " ".join(common[::-1]) + " " + cases.prose(i, 60)) for i in range(40)]
+    rows.append((100, cases.prose(50, 80) + " " + " ".join(common) + " " + cases.prose(51, 80)))
+    rare = cases.prose(900, 64)
+    rows.append((101, cases.prose(52, 80) + " " + rare + " " + cases.prose(53, 80)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(common)), (2, rare)], "item_id long, text string")
+    models = decontam.models(docs, items)
+    # All words of the first item stand in most documents and weigh nothing.
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.search(docs, models).collect()} == {(100, 1), (101, 2)}
+    # In a huge corpus the words around an item outweigh it.
+    finder = decontam.Finder(models[0])
+    finder.model.top_idf *= 1000
+    for shift in range(40):
+        text = cases.prose(54, 60 + shift) + " " + rare + " " + cases.prose(55, 80)
+        assert [hit[:2] for hit in finder.find([text.lower().encode()])] == [(0, 2)]
