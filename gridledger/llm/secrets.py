@@ -1,7 +1,7 @@
 """Secret scan: assignment-aware lexing of source and configuration text, beside base patterns.
 
 The lexer reads `name = literal`, `name: literal`, `"name": "literal"`, `export NAME=literal`,
-`name => literal` and the like into pairs of a (dotted, quoted or plain) name and a value. A value is
+`name => literal`, `name: type = literal`, `name = other = literal` and the like into pairs of a (dotted, quoted or plain) name and a value. A value is
 a string literal, a joined run of literals and known names (`"ab" + tail`), an unquoted word, or
 another name. Constants are propagated: a name that stands as a value carries the literals it was
 given before, so `x = "..."` followed by `client.secret = x` marks the literal in the first line. Each
@@ -59,11 +59,16 @@ THRESHOLD = 0.6
 NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 LITERAL = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
 ATOM = rf"(?:{LITERAL}|[A-Za-z0-9+/_=.\-]+)"
-# name, operator, then one value or several joined by +, . or blanks between literals
+# What may stand between the first name and the value: a further name, or a type (`&'a str`, `a::B<C>[]?`, `X | None`).
+SIMPLE = r"[&*]?(?:'[a-z_]++[ \t]+)?(?:(?:dyn|mut|const)[ \t]+)?[A-Za-z_][A-Za-z0-9_.\-]*+(?:::[A-Za-z_][A-Za-z0-9_]*+)*+(?:[<\[][^=\"\n;(){}]{0,80}[>\]])?(?:\[\])*+[?!]?"
+BETWEEN = rf"(?:{SIMPLE}(?:[ \t]*\|[ \t]*{SIMPLE})*+|\"{NAME}\"|'{NAME}')"
+GIVES = r"(?:[ \t]+=(?![=>])[ \t]*|=(?=[ \t]*[\"'])[ \t]*)"
+# name, operator, types or further names of a chain, then one value or several joined by +, . or blanks between literals
 PAIR = re.compile(
-    rf"(?<![A-Za-z0-9_.\-])[\"']?({NAME})[\"']?[ \t]*(?:=>|:=|=(?!=)|:(?!:|//))[ \t]*"
-    rf"({ATOM}(?:[ \t]*\+[ \t]*{ATOM})*)"
+    rf"(?<![A-Za-z0-9_.\-])[\"']?({NAME})[\"']?[ \t]*(=>|:=|=(?!=)|:(?!:|//))[ \t]*"
+    rf"((?:{BETWEEN}{GIVES})*)({ATOM}(?:[ \t]*\+[ \t]*{ATOM})*)"
 )
+LINK = re.compile(f"({BETWEEN}){GIVES}")
 PART = re.compile(ATOM)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -116,9 +121,18 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     held: dict[str, list[tuple[int, int]]] = {}  # constant -> literals it carries
     scores: dict[tuple[int, int], float] = {}
     for pair in PAIR.finditer(text):
-        name = pair.group(1)
+        names = [pair.group(1)]
+        at = pair.start(3)
+        while at < pair.end(3) and (link := LINK.match(text, at)):
+            between = link.group(1)
+            if at > pair.start(3) or pair.group(2) != ":":
+                names.append(between)
+            if re.search("[0-9]", between):  # may be a value itself
+                weight = name_weight(names[0]) * literal_weight(between)
+                scores[link.span(1)] = max(scores.get(link.span(1), 0.0), weight)
+            at = link.end()
         carried: list[tuple[int, int]] = []
-        parts = list(PART.finditer(text, pair.start(2), pair.end(2)))
+        parts = list(PART.finditer(text, pair.start(4), pair.end(4)))
         for part in parts:
             word = part.group()
             if word[0] in "\"'":
@@ -128,8 +142,9 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
             elif len(parts) == 1 and not word.endswith("."):
                 carried.append((part.start(), part.end()))
         carried = [(a, b) for a, b in dict.fromkeys(carried) if b > a]
-        held[name] = carried
-        weight = name_weight(name)
+        for name in names:
+            held[name] = carried
+        weight = max(map(name_weight, names))
         if weight and carried:
             whole = literal_weight("".join(text[a:b] for a, b in carried))
             for span in carried:

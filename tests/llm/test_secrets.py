@@ -63,6 +63,30 @@ def test_harmless_assignments():
         assert values(text) == []
 
 
+def test_typed_declarations_and_chains():
+    secret = "q7Zk29LmPx4T"
+    for text in (
+        f'db_credential: str = "{secret}"',
+        f'auth_key: Optional[str] = "{secret}"',
+        f'auth_key: str | None="{secret}"',
+        f'const apiSecret: string = "{secret}";',
+        f"val authToken: String? = '{secret}'",
+        f'let token: &str = "{secret}";',
+        f"const TOKEN: &'static str = \"{secret}\";",
+        f'let api_key: std::string::String = "{secret}";',
+        f'signing_key = backup = "{secret}"',
+        f'backup = signing_key = "{secret}"',
+        f'backup=signing_key="{secret}"',
+        f'a = b = c = "{secret}"\nclient.secret = b',
+    ):
+        assert values(text) == [secret], text
+        assert secret not in secrets.redacted(text, "<secret>"), text
+    # A type carries nothing on; a value with padding stays whole.
+    assert values(f'title: str = "{secret}"\ndef f(password: str): pass') == []
+    assert values("signing_key=abcDEF1234567= rest") == ["abcDEF1234567="]
+    assert values("signing_key: abcDEF1234567/x = rest") == ["abcDEF1234567/x"]
+
+
 def test_redaction_takes_effect(spark):
     frame = cases.awkward(spark, "spans").unionByName(
         spark.createDataFrame([(20, TEXTS[0] + " and " + TEXTS[3], "en", "a", 1)], cases.SCHEMA).withColumn(
