@@ -1,11 +1,13 @@
 """Embedding near-duplicates through an inverted multi-index.
 
 Vectors are cut in halves; k-means codebooks of the two halves form a product grid of cells, and every
-vector belongs to the cell of its two nearest centroids. A vector searches the cells in
-multi-sequence order: by the sum of its two squared distances to the half cells' borders (the
-bisecting planes, or the half cells' radii where they are farther). It stops where a neighbour at the
-threshold would lie with less than the wanted miss rate, taking the offset of a neighbour as spread
-evenly over the dimensions. All pairs met are then verified by the cosine in double precision.
+vector belongs to the cell of its two nearest centroids. A vector searches the cells by the sum of its
+two squared distances to the half cells' borders (the bisecting planes), up to a reach. The reach is
+measured: a pass over all vectors finds the true neighbours of a sample of them by brute force, and the
+reach meets the target recall of these pairs, both over all pairs and on average over the sampled vectors.
+It is never less than what neighbours with evenly spread offsets need, and never more than the squared
+distance of a neighbour at the threshold, within which nothing is lost. All pairs met are then verified
+by the cosine in double precision.
 
 The codebooks are fitted on a bounded sample (`sample_bytes`); every vector is indexed and searches.
 Their size grows with the square root of the number of vectors. Equal vectors are one node with a
@@ -34,7 +36,9 @@ from gridledger.llm.components import components
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.95
-    spread: float = 4.5  # standard deviations of a neighbour's offset that the search covers
+    recall: float = 0.99  # share of the sampled vectors' neighbours that the search meets
+    queries: int = 512  # sampled vectors of each length whose neighbours are found by brute force
+    spread: float = 4.5  # standard deviations of an evenly spread offset that the search covers at least
     cell_members: int = 256  # vectors per cell that the codebook size aims at
     most_centroids: int = 256  # per half
     sample_bytes: int = 64 << 20
@@ -115,8 +119,8 @@ def search_cells(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], reach: flo
 
 
 def fit(nodes: DataFrame, kind: np.dtype, settings: Settings) -> dict[int, tuple]:
-    """Codebooks by vector length."""
-    out = {}
+    """Codebooks and reach by vector length."""
+    out, asked = {}, {}
     threshold = settings.threshold
     for dim, n in sorted(tuple(r) for r in nodes.groupBy("dim").count().collect()):
         most = min(settings.sample_vectors, settings.sample_bytes // (dim * kind.itemsize) + 1)
@@ -124,7 +128,7 @@ def fit(nodes: DataFrame, kind: np.dtype, settings: Settings) -> dict[int, tuple
             nodes.filter(F.col("dim") == dim)
             .orderBy(F.xxhash64("node", F.lit(settings.seed)), "node")
             .limit(most)
-            .select("vector")
+            .select("vector", "node")
             .collect()
         )
         x = unit_rows([bytes(r["vector"]) for r in rows], kind)
@@ -135,6 +139,56 @@ def fit(nodes: DataFrame, kind: np.dtype, settings: Settings) -> dict[int, tuple
         # A neighbour at the threshold is sqrt(2 - 2t) away; one dimension gets a share of it.
         reach = settings.spread**2 * (2 - 2 * threshold) / dim
         out[dim] = (books, min(reach, 2 - 2 * threshold))
+        asked[dim] = (np.array([r["node"] for r in rows[: settings.queries]]), x[: settings.queries])
+    for dim, reach in measured_reach(nodes, out, asked, kind, settings).items():
+        out[dim] = (out[dim][0], max(reach, out[dim][1]))
+    return out
+
+
+def needed(one: tuple, other: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Reach at which the pairs (i of one, j of other) are met; both are border distances of the halves."""
+    ((a, far_a), (b, far_b)), ((c, far_c), (d, far_d)) = one, other
+    first = (a[i] < c[j]) | ((a[i] == c[j]) & (b[i] < d[j]))  # the smaller cell searches
+    return np.where(first, far_a[i, c[j]] + far_b[i, d[j]], far_c[j, a[i]] + far_d[j, b[i]])
+
+
+def measured_reach(
+    nodes: DataFrame, codebooks: dict[int, tuple], asked: dict[int, tuple], kind: np.dtype, settings: Settings
+) -> dict[int, float]:
+    """Reach by vector length that meets the target recall of the sampled vectors' neighbours."""
+    steps = (2 - 2 * settings.threshold) * (np.arange(257) / 256) ** 2
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        node, dims = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        vectors = batch.column(2).to_pylist()
+        keys = []
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            books, (ids, q) = codebooks[int(dim)][0], asked[int(dim)]
+            x = unit_rows([vectors[i] for i in at], kind)
+            i, j = np.nonzero((x @ q.T >= settings.threshold) & (node[at][:, None] != ids[None, :]))
+            if len(i):
+                near, back = np.unique(i, return_inverse=True)
+                sought, which = np.unique(j, return_inverse=True)
+                sides = ([border_distances(h, c) for h, c in zip(halves(y), books)] for y in (x[near], q[sought]))
+                step = np.minimum(np.searchsorted(steps, needed(*sides, back, which)), len(steps) - 1)
+                keys.append(np.column_stack((np.full(len(j), dim), j, step)))
+        if not keys:
+            return None
+        found, n = np.unique(np.concatenate(keys), axis=0, return_counts=True)
+        columns = [pa.array(c.astype(np.int32)) for c in found.T]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64))], ["dim", "query", "step", "n"])
+
+    pairs = map_arrow(nodes.select("node", "dim", "vector"), work, "dim int, query int, step int, n bigint")
+    counts: dict[int, np.ndarray] = {}
+    for dim, query, step, n in pairs.groupBy("dim", "query", "step").agg(F.sum("n")).collect():
+        counts.setdefault(dim, np.zeros((len(asked[dim][0]), len(steps))))[query, step] = n
+    out = {}
+    for dim, n in counts.items():
+        n = n[n.sum(1) > 0]
+        pooled = n.sum(0).cumsum() / n.sum()
+        each = (n.cumsum(1) / n.sum(1, keepdims=True)).mean(0)
+        out[dim] = float(steps[np.argmax(np.minimum(pooled, each) >= settings.recall - 1e-12)])
     return out
 
 

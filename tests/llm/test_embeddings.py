@@ -60,3 +60,16 @@ def test_awkward_rows(spark):
     assert by[9] == (1, 9, True) and by[10] == (1, 9, False)
     assert all(by[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 11, 12))
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_recall_on_vectors_of_low_rank(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((1500, 8))
+    near = [base + s * np.linalg.norm(base, axis=1, keepdims=True) * rng.standard_normal(base.shape) / 8**0.5 for s in (0.1, 0.2, 0.3)]
+    vectors = np.concatenate([base, *near]) @ rng.standard_normal((8, 256))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(frame, embeddings.Settings(cell_members=24)).collect()}
+    x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.98 * want.sum()
