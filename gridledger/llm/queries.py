@@ -8,7 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.llm import decontam, embeddings, jaccard, mixing, pii, secrets, suffixes, tokens, toxicity, urls
+from gridledger.llm import (
+    audit,
+    centroids,
+    decontam,
+    embeddings,
+    jaccard,
+    mixing,
+    pii,
+    secrets,
+    suffixes,
+    tokens,
+    toxicity,
+    urls,
+)
 from gridledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -269,3 +282,97 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+# Failure conditions as worded; an order removes a document at the first of its filters that it fails.
+FILTER_AUDIT_SQL = """
+WITH RECURSIVE orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE length(o) < 5 AND NOT contains(o, f)
+), steps AS (
+  SELECT o, s, substr(o, s, 1) AS f FROM orders, (SELECT unnest(range(1, 6)) AS s) WHERE length(o) = 5
+), texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), firsts AS (
+  SELECT t, min(doc_id) AS first FROM texts GROUP BY t
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), words AS (
+  SELECT x.doc_id, part, x.t, first, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         regexp_extract_all(x.t, '[^\\x20\\x09-\\x0D]+') AS w
+  FROM texts x JOIN firsts f ON f.t = x.t LEFT JOIN marks m ON m.doc_id = x.doc_id
+), failed AS (
+  SELECT part, good, toxic,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+  FROM words
+), kinds AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, fails
+), judged AS (
+  SELECT part, o, s, f, n, good, toxic, fails, contains(fails, f) AS hit,
+         len(list_filter(string_split(fails, ''), lambda x: x <> '' AND contains(substr(o, 1, s - 1), x))) > 0 AS earlier
+  FROM kinds, steps
+), rows AS (
+  SELECT part, o, s, f, sum(CASE WHEN NOT hit AND NOT earlier THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN hit AND NOT earlier THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN hit AND earlier THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN hit AND NOT earlier THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN hit AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost
+  FROM judged GROUP BY part, o, s, f
+)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM rows
+"""
+
+
+@query("op12_filter_audit", FILTER_AUDIT_SQL)
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _clustering_sql(rounds: int = 5, clusters: int = 40) -> str:
+    """Lloyd's rounds as one chain of steps: assignment `a<i>`, then centroids `c<i + 1>`."""
+    nearest = """a{i} AS MATERIALIZED (
+  SELECT r, arg_min(k, d * 1000 + k) AS k, min(d) AS d FROM (
+    SELECT v.r, c.k, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{i} c ON c.j = v.j GROUP BY v.r, c.k) GROUP BY r
+)"""
+    moved = """c{n} AS MATERIALIZED (
+  SELECT c.k, c.j, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+    SELECT k, j, (s - ((s % n) + n) % n) // n AS x FROM (
+      SELECT a.k, v.j, CAST(sum(v.x) AS BIGINT) AS s, count(*) AS n FROM a{i} a JOIN v ON v.r = a.r GROUP BY a.k, v.j)) m
+  ON m.k = c.k AND m.j = c.j
+)"""
+    steps = []
+    for i in range(rounds):
+        steps += [nearest.format(i=i), moved.format(i=i, n=i + 1)]
+    steps.append(nearest.format(i=rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT r, unnest(range(1, 65)) AS j, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept
+), first AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS k FROM kept
+), c0 AS MATERIALIZED (
+  SELECT k, j, x FROM first JOIN v USING (r) WHERE k < {clusters}
+), {', '.join(steps)}, named AS (
+  SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY k
+)
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} a JOIN kept USING (r) JOIN named n ON n.k = a.k
+"""
+
+
+@query("op13_centroids", _clustering_sql())
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
