@@ -14,6 +14,7 @@ from gridledger.llm import (
     decontam,
     embeddings,
     jaccard,
+    language,
     mixing,
     pii,
     secrets,
@@ -284,6 +285,11 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op11_language_model")
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.score(table(spark, sf_dir, "documents"))
+
+
 # Failure conditions as worded; an order removes a document at the first of its filters that it fails.
 FILTER_AUDIT_SQL = """
 WITH RECURSIVE orders AS (
