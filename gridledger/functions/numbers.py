@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -10,8 +12,7 @@ ColumnOrName = Column | str
 # Amounts are added exactly, so a total does not depend on the order in which partitions are merged.
 # Each amount is split into the high and low bits of its whole part and its fraction in units of
 # 10 ** -PLACES; the three are summed apart as 64-bit integers, which overflow only beyond 9 * 10 ** 10
-# rows of a group. A double stands for 15 decimal digits: larger amounts are read to the fifteenth.
-# From 2 ** 44 on their binary fractions end within PLACES decimals and are taken as they are.
+# rows of a group. An amount is read as the shortest decimal that names its double, to PLACES places.
 PLACES = 8
 LOW_BITS = 26
 WHOLE_LIMIT = float(1 << 62)  # amounts beyond, infinities and NaN are added as plain doubles
@@ -41,29 +42,71 @@ def is_junk_number(c: ColumnOrName) -> Column:
     return text.isNotNull() & (text != "") & (F.lower(text) != "nan") & parse_number(text).isNull()
 
 
-def parts(c: ColumnOrName) -> Column:
-    """Order-independent sum as struct(exact decimal, wild double); both null without input."""
-    v = col(c).cast("double")
+def _split(v: Column) -> tuple[Column, Column]:
+    """Whole part, null for wild amounts, and fraction in units of 10 ** -PLACES, null from 1e7 on."""
     size = F.abs(v)
-    plain = size < WHOLE_LIMIT  # false for NaN
-    whole = F.when(plain, F.floor(v))
-    # Digits of the fraction beyond the fifteenth of the amount are noise: coarser steps.
-    step = F.when(size < 1e7, 1.0)
-    for k in range(1, PLACES - 2):
-        step = step.when(size < 10.0 ** (7 + k), 10.0**k)
-    step = step.when(size < 2.0**44, 10.0 ** (PLACES - 2)).otherwise(1.0)
-    fraction = F.when(
-        plain, (F.rint((v - F.floor(v)) * 10.0**PLACES / step) * step).cast("bigint")
-    )
-    high = F.sum(F.shiftright(whole, LOW_BITS)).cast("decimal(19,0)")
-    low = F.sum(whole.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(19,0)")
-    units = F.sum(fraction).cast("decimal(19,0)")
+    # Up to 1e7 the eighth decimal lies within the first fifteen digits.
+    near = F.rint((v - F.floor(v)) * 10.0**PLACES).cast("bigint")
+    return F.when(size < WHOLE_LIMIT, F.floor(v)), F.when(size < 1e7, near)  # false for NaN
+
+
+def _raw_sums(v: Column, whole: Column, units: Column, on: Column | None) -> dict[str, Column]:
+    written = v.cast(f"decimal(38,{PLACES})") - whole
+    far = F.when(whole.isNotNull(), (written * F.lit(10**PLACES)).cast("bigint"))
+    columns = {
+        "high": F.shiftright(whole, LOW_BITS),
+        "low": whole.bitwiseAND(F.lit((1 << LOW_BITS) - 1)),
+        "units": F.coalesce(units, far),
+        "wild": F.when(whole.isNull(), v),
+    }
+    return {kind: F.sum(c if on is None else F.when(on, c)) for kind, c in columns.items()}
+
+
+def _joined(sums: dict[str, Column]) -> Column:
+    unit = F.lit(f"0.{'0' * (PLACES - 1)}1").cast(f"decimal({PLACES + 1},{PLACES})")
     exact = (
-        high * F.lit(1 << LOW_BITS).cast("decimal(8,0)")
-        + low
-        + units * F.lit(f"0.{'0' * (PLACES - 1)}1").cast(f"decimal({PLACES + 1},{PLACES})")
+        sums["high"].cast("decimal(19,0)") * F.lit(1 << LOW_BITS).cast("decimal(8,0)")
+        + sums["low"].cast("decimal(19,0)")
+        + sums["units"].cast("decimal(19,0)") * unit
     )
-    return F.struct(exact.alias("exact"), F.sum(F.when(~plain, v)).alias("wild"))
+    return F.struct(exact.alias("exact"), sums["wild"].alias("wild"))
+
+
+def parts(c: ColumnOrName) -> Column:
+    """Order-independent sum as struct(exact decimal, wild double); both null without input."""
+    v = col(c).cast("double")
+    return _joined(_raw_sums(v, *_split(v), None))
+
+
+_KINDS = ("high", "low", "units", "wild")
+
+
+def with_amounts(frame: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Adds the split of each amount, to be summed by `amount_sums`.
+
+    An aggregation over several measures, conditions or grouping sets then works each amount out
+    once per row. Its sums are put together by `summed` in a step of its own: so the generated
+    methods stay below the size from which the JVM no longer compiles them.
+    """
+    added = {}
+    for name in names:
+        added[f"_whole_{name}"], added[f"_units_{name}"] = _split(F.col(name).cast("double"))
+    return frame.withColumns(added)
+
+
+def amount_sums(name: str, alias: str | None = None, on: Column | None = None) -> list[Column]:
+    """Plain sums of a measure prepared by `with_amounts`, of all rows or those where `on` holds."""
+    raw = _raw_sums(F.col(name).cast("double"), F.col(f"_whole_{name}"), F.col(f"_units_{name}"), on)
+    return [column.alias(f"_{kind}_{alias or name}") for kind, column in raw.items()]
+
+
+def summed(alias: str) -> Column:
+    """`parts` from the columns that `amount_sums` gave."""
+    return _joined({kind: F.col(f"_{kind}_{alias}") for kind in _KINDS})
+
+
+def summed_or_0(alias: str) -> Column:
+    return F.coalesce(value(summed(alias)), F.lit(0.0))
 
 
 def value(sums: Column) -> Column:

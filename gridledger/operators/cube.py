@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.functions.numbers import total_or_0
+from gridledger.functions.numbers import amount_sums, summed_or_0, total_or_0, with_amounts
 from gridledger.specs import PW_MEASURES
 
 # The views a daily snapshot holds, as (member, label, measures).
@@ -43,7 +43,9 @@ def cube_by(
     present = positions
     for key in keys:
         present = present.filter(F.col(key).isNotNull())
-    return present.groupBy(*keys).agg(*[total_or_0(m).alias(m.lower()) for m in measures])
+    sums = [s for m in measures for s in amount_sums(m)]
+    rolled = with_amounts(present, measures).groupBy(*keys).agg(*sums)
+    return rolled.select(*keys, *[summed_or_0(m).alias(m.lower()) for m in measures])
 
 
 def build_cube(positions: DataFrame) -> DataFrame:
@@ -63,14 +65,18 @@ def build_cube(positions: DataFrame) -> DataFrame:
         for name, (member, label, _) in VIEWS.items()
     }
     rolled = (
-        positions.filter(F.col("REPORT_DATE").isNotNull())
+        with_amounts(positions.filter(F.col("REPORT_DATE").isNotNull()), PW_MEASURES)
         .groupingSets(sets, "REPORT_DATE", *DIMENSIONS)
         .agg(
             F.grouping_id().alias("gid"),
-            *[total_or_0(m).alias(m.lower()) for m in PW_MEASURES],
+            *[s for m in PW_MEASURES for s in amount_sums(m)],
         )
     )
 
+    rolled = rolled.select(
+        "REPORT_DATE", *DIMENSIONS, "gid", *[summed_or_0(m).alias(m.lower()) for m in PW_MEASURES]
+    )
+
     def by_view(pick) -> Column:
         out = F
         for name, view in VIEWS.items():

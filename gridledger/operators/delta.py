@@ -15,13 +15,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridledger.functions.numbers import (
+    amount_sums,
     difference,
     grouped_digits,
-    parts,
     rounded,
     sign_label,
     signed_text,
+    summed,
+    summed_or_0,
     value,
+    with_amounts,
 )
 
 # Dimensions shown in the summary of drivers and their headings.
@@ -88,17 +91,18 @@ def latest_reports(
 
 
 def _side_sums(measures: list[str], is_latest: Column, is_previous: Column) -> list[Column]:
-    """Sums of each measure on both dates, as `parts`."""
+    """Sums of each prepared measure on both dates, to be read by `summed`."""
     return [
-        parts(F.when(on_side, F.col(m))).alias(f"{m}_{side}")
+        column
         for m in measures
         for side, on_side in (("latest", is_latest), ("previous", is_previous))
+        for column in amount_sums(m, f"{m}_{side}", on_side)
     ]
 
 
 def _delta(measure: str) -> Column:
     """Change between the two sums of `_side_sums`, exact."""
-    return difference(F.col(f"{measure}_latest"), F.col(f"{measure}_previous"))
+    return difference(summed(f"{measure}_latest"), summed(f"{measure}_previous"))
 
 
 def compare_reports(
@@ -116,7 +120,7 @@ def compare_reports(
     rows, is_latest, is_previous = last_two(frame, date, dates)
     for key in keys:
         rows = rows.filter(F.col(key).isNotNull())
-    sums = rows.groupBy(*keys).agg(
+    sums = with_amounts(rows, measures).groupBy(*keys).agg(
         *_side_sums(measures, is_latest, is_previous),
         (F.count_if(is_latest) > 0).alias("in_latest"),
         (F.count_if(is_previous) > 0).alias("in_previous"),
@@ -125,8 +129,8 @@ def compare_reports(
         column
         for m in measures
         for column in (
-            value(F.col(f"{m}_latest")).alias(f"{m}_latest"),
-            value(F.col(f"{m}_previous")).alias(f"{m}_previous"),
+            value(summed(f"{m}_latest")).alias(f"{m}_latest"),
+            value(summed(f"{m}_previous")).alias(f"{m}_previous"),
             _delta(m).alias(f"{m}_delta"),
         )
     ]
@@ -217,7 +221,9 @@ def delta_series(frame: DataFrame, keys: list[str], measures: list[str]) -> Data
 
     The window runs over one row per (key, report date), never over positions.
     """
-    per_date = frame.groupBy(*keys, "REPORT_DATE").agg(*[parts(m).alias(m) for m in measures])
+    sums = [s for m in measures for s in amount_sums(m)]
+    per_date = with_amounts(frame, measures).groupBy(*keys, "REPORT_DATE").agg(*sums)
+    per_date = per_date.select(*keys, "REPORT_DATE", *[summed(m).alias(m) for m in measures])
     for key in [*keys, "REPORT_DATE"]:
         per_date = per_date.filter(F.col(key).isNotNull())
     history = W.partitionBy(*keys).orderBy("REPORT_DATE")
@@ -242,13 +248,13 @@ def _or_0(c: Column) -> Column:
 def nop_card(positions: DataFrame, dates: ReportDates = None) -> DataFrame:
     """Headline figures of the latest report: value, change, sign and display text."""
     rows, is_latest, is_previous = last_two(positions, dates=dates)
-    sums = rows.agg(
+    sums = with_amounts(rows, ["VOLUME_BL", "MKT_VAL_BL"]).agg(
         F.max("REPORT_DATE").alias("as_of"),
         *_side_sums(["VOLUME_BL", "MKT_VAL_BL"], is_latest, is_previous),
     ).filter(F.col("as_of").isNotNull())
-    cards = sums.select("as_of", _or_0(value(F.col("VOLUME_BL_latest"))).alias("volume"),
+    cards = sums.select("as_of", summed_or_0("VOLUME_BL_latest").alias("volume"),
                         _delta("VOLUME_BL").alias("delta_volume"),
-                        _or_0(value(F.col("MKT_VAL_BL_latest"))).alias("market"),
+                        summed_or_0("MKT_VAL_BL_latest").alias("market"),
                         _delta("MKT_VAL_BL").alias("delta_market"))
     return cards.select(
         "*",
@@ -281,7 +287,7 @@ def top_movers(
     rows, is_latest, is_previous = last_two(positions, dates=dates)
     at_horizon = F.col("HORIZON") == horizon
     per_member = (
-        rows.filter(F.col(member).isNotNull() & F.col("HORIZON").isNotNull())
+        with_amounts(rows.filter(F.col(member).isNotNull() & F.col("HORIZON").isNotNull()), [measure])
         .groupBy(member)
         .agg(
             *_side_sums([measure], is_latest & at_horizon, is_previous & at_horizon),
@@ -356,7 +362,7 @@ def top_drivers(
         for name, dim in views.items()
     }
     sums = (
-        rows.filter(F.col("HORIZON").isNotNull())
+        with_amounts(rows.filter(F.col("HORIZON").isNotNull()), ["VOLUME_BL", "MKT_VAL_BL"])
         .groupingSets([[d, "HORIZON"] for d in dims], *dims, "HORIZON")
         .agg(
             F.grouping_id().alias("gid"),

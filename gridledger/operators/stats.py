@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.functions.numbers import mean, parse_number_fill0, rounded, total, total_or_0
+from gridledger.functions.numbers import (
+    amount_sums,
+    mean,
+    parse_number_fill0,
+    rounded,
+    summed,
+    summed_or_0,
+    total_or_0,
+    value,
+    with_amounts,
+)
 from gridledger.specs import FeedSpec
 
 # Preference order for the axis of a by-dimension chart.
 CHART_DIMENSIONS = ("BOOK", "TGROUP1", "SEGMENT", "BUCKET")
 
-_STATISTIC = {
-    "TOTAL": total,
-    "AVG": mean,
-    "MIN": F.min,
-    "MAX": F.max,
-    "STD": F.stddev_samp,
-}
+_STATISTIC = {"MIN": F.min, "MAX": F.max, "STD": F.stddev_samp}
 
 
 def present_dims(frame: DataFrame, wanted: tuple[str, ...] | list[str]) -> list[str]:
@@ -64,12 +68,21 @@ def daily_stats(
     keys = [*extra_keys, "REPORT_DATE", *present_dims(frame, spec.stat_dims)]
     for key in keys:
         frame = frame.filter(F.col(key).isNotNull())
-    outputs = [
-        _STATISTIC[stat](m).alias(f"{stat}_{m}")
-        for m in present_dims(frame, spec.measures)
-        for stat in spec.statistics
-    ]
-    return frame.groupBy(*keys).agg(*outputs)
+    measures = present_dims(frame, spec.measures)
+    sums = []
+    for m in measures:
+        # Filled measures have no nulls, so that the rows of a group are the values of each.
+        sums += amount_sums(m)
+        sums += [_STATISTIC[stat](m).alias(f"{stat}_{m}") for stat in spec.statistics if stat in _STATISTIC]
+    grouped = with_amounts(frame, measures).groupBy(*keys).agg(F.count("*").alias("_n"), *sums)
+
+    def figure(stat: str, m: str):
+        if stat in _STATISTIC:
+            return F.col(f"{stat}_{m}")
+        whole = value(summed(m))
+        return (whole if stat == "TOTAL" else whole / F.col("_n")).alias(f"{stat}_{m}")
+
+    return grouped.select(*keys, *[figure(stat, m) for m in measures for stat in spec.statistics])
 
 
 def round_record(frame: DataFrame, places: int = 2) -> DataFrame:
@@ -86,7 +99,9 @@ def available_metrics(frame: DataFrame, wanted: list[str]) -> list[str]:
 def combined_totals(stats: DataFrame, spec: FeedSpec) -> DataFrame:
     """Stored group totals added up per report date, for the metrics that are present."""
     metrics = available_metrics(stats, spec.total_metrics)
-    return stats.groupBy("REPORT_DATE").agg(*[total_or_0(m).alias(m) for m in metrics])
+    sums = [s for m in metrics for s in amount_sums(m)]
+    rolled = with_amounts(stats, metrics).groupBy("REPORT_DATE").agg(*sums)
+    return rolled.select("REPORT_DATE", *[summed_or_0(m).alias(m) for m in metrics])
 
 
 def to_long(frame: DataFrame, metrics: list[str], date: str = "REPORT_DATE") -> DataFrame:
