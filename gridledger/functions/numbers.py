@@ -62,7 +62,8 @@ def _raw_sums(v: Column, whole: Column, units: Column, on: Column | None) -> dic
     return {kind: F.sum(c if on is None else F.when(on, c)) for kind, c in columns.items()}
 
 
-def _joined(sums: dict[str, Column]) -> Column:
+def joined(sums: dict[str, Column]) -> Column:
+    """`parts` from the sums high, low, units and wild."""
     unit = F.lit(f"0.{'0' * (PLACES - 1)}1").cast(f"decimal({PLACES + 1},{PLACES})")
     exact = (
         sums["high"].cast("decimal(19,0)") * F.lit(1 << LOW_BITS).cast("decimal(8,0)")
@@ -75,7 +76,7 @@ def _joined(sums: dict[str, Column]) -> Column:
 def parts(c: ColumnOrName) -> Column:
     """Order-independent sum as struct(exact decimal, wild double); both null without input."""
     v = col(c).cast("double")
-    return _joined(_raw_sums(v, *_split(v), None))
+    return joined(_raw_sums(v, *_split(v), None))
 
 
 _KINDS = ("high", "low", "units", "wild")
@@ -102,7 +103,7 @@ def amount_sums(name: str, alias: str | None = None, on: Column | None = None) -
 
 def summed(alias: str) -> Column:
     """`parts` from the columns that `amount_sums` gave."""
-    return _joined({kind: F.col(f"_{kind}_{alias}") for kind in _KINDS})
+    return joined({kind: F.col(f"_{kind}_{alias}") for kind in _KINDS})
 
 
 def summed_or_0(alias: str) -> Column:

@@ -9,7 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.functions.numbers import amount_sums, summed_or_0, total_or_0, with_amounts
+from gridledger.functions.numbers import (
+    amount_sums,
+    joined,
+    summed_or_0,
+    total_or_0,
+    value,
+    with_amounts,
+)
 from gridledger.specs import PW_MEASURES
 
 # The views a daily snapshot holds, as (member, label, measures).
@@ -55,49 +62,99 @@ def build_cube(positions: DataFrame) -> DataFrame:
     carry the measure). One scan serves all views: each row is expanded into the grouping
     sets and combined before the shuffle, which then carries groups, not positions.
     """
-    sets = [["REPORT_DATE", member, label] for member, label, _ in VIEWS.values()]
+    rolled = _rolled(positions, (), [s for m in PW_MEASURES for s in amount_sums(m)])
+    figures = {m: summed_or_0(m) for m in PW_MEASURES}
+    # Figures first: a view then picks finished columns.
+    rolled = rolled.select(
+        "REPORT_DATE", *DIMENSIONS, "gid", *[c.alias(m.lower()) for m, c in figures.items()]
+    )
+    kept = [
+        _by_view(
+            lambda _, __, ___, kept, m=m: F.col(m.lower()) if m in kept else F.lit(None)
+        ).alias(m.lower())
+        for m in PW_MEASURES
+    ]
+    return _as_views(rolled, (), kept)
+
+
+def _rolled(positions: DataFrame, extra: tuple[str, ...], sums: list[Column]) -> DataFrame:
+    """All groupings of a snapshot in one pass, with their `gid`; also by the extra keys."""
+    sets = [["REPORT_DATE", *extra, member, label] for member, label, _ in VIEWS.values()]
+    return (
+        with_amounts(positions.filter(F.col("REPORT_DATE").isNotNull()), PW_MEASURES)
+        .groupingSets(sets, "REPORT_DATE", *extra, *DIMENSIONS)
+        .agg(F.grouping_id().alias("gid"), *sums)
+    )
+
+
+def _by_view(pick) -> Column:
     # grouping_id sets a bit for each column that is rolled up.
     width = len(DIMENSIONS)
-    ids = {
-        name: sum(
+    out = F
+    for name, (member, label, measures) in VIEWS.items():
+        gid = sum(
             1 << (width - 1 - i) for i, d in enumerate(DIMENSIONS) if d not in (member, label)
         )
-        for name, (member, label, _) in VIEWS.items()
-    }
-    rolled = (
-        with_amounts(positions.filter(F.col("REPORT_DATE").isNotNull()), PW_MEASURES)
-        .groupingSets(sets, "REPORT_DATE", *DIMENSIONS)
-        .agg(
-            F.grouping_id().alias("gid"),
-            *[s for m in PW_MEASURES for s in amount_sums(m)],
-        )
-    )
-
-    rolled = rolled.select(
-        "REPORT_DATE", *DIMENSIONS, "gid", *[summed_or_0(m).alias(m.lower()) for m in PW_MEASURES]
-    )
+        out = out.when(F.col("gid") == gid, pick(name, member, label, measures))
+    return out
 
-    def by_view(pick) -> Column:
-        out = F
-        for name, view in VIEWS.items():
-            out = out.when(F.col("gid") == ids[name], pick(name, *view))
-        return out
 
+def _as_views(rolled: DataFrame, extra: tuple[str, ...], figures: list[Column]) -> DataFrame:
     long = rolled.select(
         "REPORT_DATE",
-        by_view(lambda name, *_: F.lit(name)).alias("view"),
-        by_view(lambda _, member, *__: F.col(member)).alias("member"),
-        by_view(lambda _, __, label, ___: F.col(label)).alias("label"),
-        *[
-            by_view(
-                lambda _, __, ___, kept, m=m: F.col(m.lower()) if m in kept else F.lit(None)
-            ).alias(m.lower())
-            for m in PW_MEASURES
-        ],
+        *extra,
+        _by_view(lambda name, *_: F.lit(name)).alias("view"),
+        _by_view(lambda _, member, *__: F.col(member)).alias("member"),
+        _by_view(lambda _, __, label, ___: F.col(label)).alias("label"),
+        *figures,
     )
     return long.filter(F.col("member").isNotNull() & F.col("label").isNotNull())
 
 
+# --- states: what a snapshot can be put together from, and taken apart into ------------
+
+
+def cube_states(positions: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The cells of `build_cube` as additive states: n_rows and, per measure, plain sums and counts.
+
+    States of different files add up to the state of their union, and a file's state can be
+    subtracted again: the sums are whole numbers. Only wild amounts (infinite, or beyond 4e18)
+    are doubles, which cannot be subtracted; their number says which cells hold any.
+    """
+    sums = [F.count("*").alias("n_rows")]
+    for m in PW_MEASURES:
+        sums += [*amount_sums(m), F.count(F.when(F.col(f"_whole_{m}").isNull(), F.col(m))).alias(f"_n_wild_{m}")]
+        sums.append(F.count(m).alias(f"_n_{m}"))
+    states = _as_views(_rolled(positions, extra, sums), extra, [F.col(c) for c in STATE_COLUMNS])
+    return states.select(*extra, *CELL, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in STATE_COLUMNS])
+
+
+CELL = ("REPORT_DATE", "view", "member", "label")
+STATE_COLUMNS = (
+    "n_rows",
+    *(f"_{kind}_{m}" for m in PW_MEASURES for kind in ("high", "low", "units", "wild", "n_wild", "n")),
+)
+
+
+def add_states(states: DataFrame) -> DataFrame:
+    """One state per cell; cells that no row is left of are gone."""
+    whole = states.groupBy(*CELL).agg(*[F.sum(c).alias(c) for c in STATE_COLUMNS])
+    return whole.filter("n_rows > 0")
+
+
+def cube_of_states(states: DataFrame) -> DataFrame:
+    """The rows of `build_cube` from one state per cell."""
+
+    def figure(m: str) -> Column:
+        sums = {kind: F.col(f"_{kind}_{m}") for kind in ("high", "low", "units")}
+        wild = F.when(F.col(f"_n_wild_{m}") > 0, F.col(f"_wild_{m}"))
+        shown = F.when(F.col(f"_n_{m}") > 0, value(joined({**sums, "wild": wild}))).otherwise(F.lit(0.0))
+        views = [name for name, (_, _, measures) in VIEWS.items() if m in measures]
+        return F.when(F.col("view").isin(views), shown).alias(m.lower())
+
+    return states.select(*CELL, *[figure(m) for m in PW_MEASURES])
+
+
 def build_cube_by_union(positions: DataFrame) -> DataFrame:
     """The same frame from one aggregation per view."""
     parts = []

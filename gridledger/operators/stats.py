@@ -85,6 +85,87 @@ def daily_stats(
     return grouped.select(*keys, *[figure(stat, m) for m in measures for stat in spec.statistics])
 
 
+# --- states: statistics that add up over files and dates -------------------------------
+
+
+def state_columns(spec: FeedSpec) -> list[str]:
+    kinds = ("high", "low", "units", "wild", "m2", "min", "max")
+    return ["n", *(f"_{kind}_{m}" for m in spec.measures for kind in kinds)]
+
+
+def statistics_states(positions: DataFrame, spec: FeedSpec, extra_keys: tuple[str, ...] = ()) -> DataFrame:
+    """What `merge_statistics` needs of each date and group: count, exact sums, sum of squared
+    deviations (M2), least and greatest value of each measure.
+
+    Rows as in `daily_stats`. A dimension that the feed lacks is null.
+    """
+    frame = fill_measures(positions, spec)
+    keys = [*extra_keys, "REPORT_DATE", *present_dims(frame, spec.stat_dims)]
+    for key in keys:
+        frame = frame.filter(F.col(key).isNotNull())
+    measures = present_dims(frame, spec.measures)
+    columns = [F.count("*").alias("n")]
+    for m in measures:
+        columns += amount_sums(m)
+        columns += [
+            (F.var_pop(m) * F.count("*")).alias(f"_m2_{m}"), F.min(m).alias(f"_min_{m}"), F.max(m).alias(f"_max_{m}"),
+        ]
+    grouped = with_amounts(frame, measures).groupBy(*keys).agg(*columns)
+    lacking = [c for c in (*spec.stat_dims, *state_columns(spec)) if c not in grouped.columns]
+    kinds = {c: "string" if c in spec.stat_dims else "double" for c in lacking}
+    filled = grouped.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items()})
+    return filled.select(*extra_keys, "REPORT_DATE", *spec.stat_dims, *state_columns(spec))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join by keys, of which null is one."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, on).drop(*[f"_right_{k}" for k in keys])
+
+
+def merge_statistics(states: DataFrame, spec: FeedSpec, keys: list[str], merged: bool = False) -> DataFrame:
+    """Statistics of `daily_stats` (STD for all feeds) by any keys, from states alone.
+
+    The variance follows from the parts' own M2 and the distances of their means from the common mean: both
+    are sums of squares, so nothing cancels. That mean is known after a first aggregation, and is joined back
+    to the states, which are far fewer than positions; a key with most states is split by adaptive
+    execution. With `merged`, states by the keys come back, which can be merged again.
+    """
+    if not keys:
+        return merge_statistics(states.withColumn("_all", F.lit(1)), spec, ["_all"], merged).drop("_all")
+    sums = ("high", "low", "units", "wild")
+    whole = states.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        *[F.sum(f"_{kind}_{m}").alias(f"_{kind}_{m}") for m in spec.measures for kind in sums],
+        *[F.min(f"_min_{m}").alias(f"_min_{m}") for m in spec.measures],
+        *[F.max(f"_max_{m}").alias(f"_max_{m}") for m in spec.measures],
+    )
+    means = whole.select(*keys, *[(value(summed(m)) / F.col("n")).alias(f"mean_{m}") for m in spec.measures])
+    parts = states.select(
+        *keys, "n", *[f"_m2_{m}" for m in spec.measures],
+        *[(value(summed(m)) / F.col("n")).alias(f"own_{m}") for m in spec.measures],
+    )
+    spread = _same(parts, means, keys).groupBy(*keys).agg(
+        *[
+            F.sum(F.col(f"_m2_{m}") + F.col("n") * F.pow(F.col(f"own_{m}") - F.col(f"mean_{m}"), 2)).alias(f"_m2_{m}")
+            for m in spec.measures
+        ]
+    )
+    state = _same(whole, spread, keys).select(*keys, *state_columns(spec))
+    if merged:
+        return state
+    figures = []
+    for m in spec.measures:
+        total = value(summed(m))
+        figures += [
+            total.alias(f"TOTAL_{m}"), (total / F.col("n")).alias(f"AVG_{m}"),
+            F.col(f"_min_{m}").alias(f"MIN_{m}"), F.col(f"_max_{m}").alias(f"MAX_{m}"),
+            F.when(F.col("n") > 1, F.sqrt(F.col(f"_m2_{m}") / (F.col("n") - 1))).alias(f"STD_{m}"),
+        ]
+    return state.select(*keys, "n", *figures)
+
+
 def round_record(frame: DataFrame, places: int = 2) -> DataFrame:
     """All floating-point columns rounded; other columns untouched."""
     return frame.withColumns(

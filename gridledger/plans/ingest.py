@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridledger.operators import cube, quality, stats
+from gridledger.plans import snapshots
 from gridledger.session import drop_folder
 from gridledger.sources import feeds, tables
 from gridledger.specs import PW, FeedSpec
@@ -103,13 +104,12 @@ def finish_load(
     schema = tables.raw_schema(spec)
     loaded = tables.load_rows(spark, positions, schema, spec.category, load_id)
     if spec.category == PW.category:
-        # Also the dates that former versions of the files held.
-        ever = spark.read.schema(schema).parquet(positions)
-        held = ever.filter(F.col("category") == spec.category).join(files, "file_name", "left_semi")
-        refresh_snapshots(spark, store, held.select("REPORT_DATE").distinct())
+        snapshots.refresh(spark, store)
     tables.write_file_stats(
         stats.stats_documents(file_statistics(loaded, spec)), store.path("file_stats")
     )
+    states = stats.statistics_states(quality.coerce_measures(loaded, spec), spec, ("file_name",))
+    tables.append_statistics(states, spec.category, load_id, store.path("statistics"))
     log = store.path("data_files")
     tables.log_ingest(loaded, spec.category, log)
     done = loaded.select("file_name").distinct()
@@ -123,25 +123,7 @@ def file_statistics(rows: DataFrame, spec: FeedSpec) -> DataFrame:
     return stats.daily_stats(newest, spec, extra_keys=("file_name",))
 
 
-def refresh_snapshots(spark: SparkSession, store: Store, dates: DataFrame | None = None) -> None:
-    """Rebuild power snapshots from the raw table: of the given report dates, or of all.
-
-    A given date that no longer holds positions keeps only a marker row.
-    """
-    positions = tables.read_raw(spark, store.path("positions"), PW)
-    if dates is None:
-        tables.upsert_snapshot(cube.build_cube(positions), PW.category, store.path("snapshots"))
-        return
-    positions = positions.join(dates, "REPORT_DATE", "left_semi")
-    built = cube.build_cube(positions)
-    gone = dates.filter("REPORT_DATE IS NOT NULL").join(
-        positions.select("REPORT_DATE").distinct(), "REPORT_DATE", "left_anti"
-    )
-    markers = gone.select("REPORT_DATE", F.lit(tables.RETIRED).alias("view"))
-    tables.upsert_snapshot(
-        built.unionByName(markers, allowMissingColumns=True), PW.category, store.path("snapshots")
-    )
-
-
 def rebuild_snapshots(spark: SparkSession, store: Store) -> None:
-    refresh_snapshots(spark, store)
+    """Build all power snapshots anew from the raw table, without the states of `snapshots.refresh`."""
+    positions = tables.read_raw(spark, store.path("positions"), PW)
+    tables.upsert_snapshot(cube.build_cube(positions), PW.category, store.path("snapshots"))

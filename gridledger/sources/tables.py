@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from gridledger.operators import cube, stats
 from gridledger.operators.files import ingest_entries
 from gridledger.specs import FeedSpec
 
@@ -38,7 +39,7 @@ def new_load_id() -> str:
     return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
 
-def _versions_path(path: str) -> str:
+def versions_path(path: str) -> str:
     return f"{path.rstrip('/').rsplit('/', 1)[0]}/file_versions"
 
 
@@ -58,7 +59,7 @@ def announce_versions(files: DataFrame, category: str, path: str, load_id: str)
     """Make `load_id` the newest version of the files (file_name)."""
     files.select(
         F.lit(category).alias("category"), "file_name", F.lit(load_id).alias("load_id")
-    ).write.mode("append").parquet(_versions_path(path))
+    ).write.mode("append").parquet(versions_path(path))
 
 
 def load_rows(
@@ -76,7 +77,7 @@ def live_versions(spark: SparkSession, path: str) -> DataFrame:
     """Newest load id of each file of the store that `path` lies in."""
     return (
         spark.read.schema(VERSIONS)
-        .parquet(_versions_path(path))
+        .parquet(versions_path(path))
         .groupBy("category", "file_name")
         .agg(F.max("load_id").alias("load_id"))
     )
@@ -161,6 +162,50 @@ def read_snapshots(spark: SparkSession, path: str, category: str) -> DataFrame:
     return rows.filter((F.col("category") == category) & (F.col("view") != RETIRED))
 
 
+# --- states of snapshots ---------------------------------------------------------------
+
+APPLIED = "applied"  # view of the rows that name a file (member) and its load (label)
+
+
+def _state_schema(*extra: str) -> T.StructType:
+    kinds = {"REPORT_DATE": T.DateType(), "view": T.StringType(), "member": T.StringType(), "label": T.StringType()}
+    fields = [T.StructField(c, T.StringType()) for c in extra]
+    fields += [T.StructField(c, kinds[c]) for c in cube.CELL]
+    fields += [
+        T.StructField(c, T.DoubleType() if c.startswith("_wild_") else T.LongType()) for c in cube.STATE_COLUMNS
+    ]
+    return T.StructType([*fields, T.StructField("category", T.StringType())])
+
+
+def read_states(spark: SparkSession, path: str, *extra: str) -> DataFrame:
+    """States below `path`, none if nothing was stored yet."""
+    try:
+        return spark.read.schema(_state_schema(*extra)).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], _state_schema(*extra))
+
+
+def append_contributions(states: DataFrame, loads: DataFrame, category: str, path: str) -> None:
+    """Store states by file, load and date. They are written once per load and never changed.
+
+    `loads` (load_id): all loads that are done with this, also those without any rows.
+    """
+    dates = states.select("file_name", "load_id", "REPORT_DATE").distinct()
+    done = loads.select("load_id").withColumn("view", F.lit(APPLIED))
+    markers = dates.withColumn("view", F.lit(APPLIED)).unionByName(done, allowMissingColumns=True)
+    rows = states.unionByName(markers, allowMissingColumns=True).withColumn("category", F.lit(category))
+    rows.hint("rebalance", "load_id").write.mode("append").partitionBy("category", "load_id").parquet(path)
+
+
+def replace_states(states: DataFrame, category: str, path: str) -> None:
+    """Replace the states of every report date among the rows."""
+    _replace_partitions(
+        states.withColumn("category", F.lit(category)).hint("rebalance", "REPORT_DATE"),
+        ["category", "REPORT_DATE"],
+        path,
+    )
+
+
 def log_unprocessed(files: DataFrame, category: str, path: str) -> None:
     """Append one log entry per file (file_name) that was rejected or held no rows."""
     files.select(
@@ -193,6 +238,25 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
         )
 
 
+def append_statistics(states: DataFrame, category: str, load_id: str, path: str) -> None:
+    """Store the statistics states of a load's files (`stats.statistics_states` by file_name)."""
+    states.withColumns({"category": F.lit(category), "load_id": F.lit(load_id)}).write.mode("append").partitionBy(
+        "category", "load_id"
+    ).parquet(path)
+
+
+def read_statistics(spark: SparkSession, path: str, spec: FeedSpec, versions: DataFrame) -> DataFrame:
+    """Statistics states of the files' newest loads (`live_versions`)."""
+    kinds = {c: "double" if c.startswith(("_wild_", "_m2_", "_min_", "_max_")) else "bigint" for c in stats.state_columns(spec)}
+    fields = ["file_name string", "REPORT_DATE date", *(f"{d} string" for d in spec.stat_dims)]
+    fields += [f"{c} {kind}" for c, kind in kinds.items()]
+    rows = spark.read.schema(", ".join([*fields, "category string", "load_id string"])).parquet(path)
+    live = versions.filter(F.col("category") == spec.category)
+    return rows.filter(F.col("category") == spec.category).join(
+        live, ["category", "file_name", "load_id"], "left_semi"
+    ).drop("category", "load_id")
+
+
 def write_file_stats(documents: DataFrame, path: str) -> None:
     """Store statistics records of files (see `stats_documents`), replacing those of a rerun."""
     _replace_partitions(documents, ["file_name"], path)

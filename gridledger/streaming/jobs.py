@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridledger.functions.text import feed_of_name, route_feed
-from gridledger.plans import ingest
+from gridledger.plans import ingest, snapshots
 from gridledger.plans.ingest import Store
 from gridledger.sources import tables
 from gridledger.sources.feeds import CSV_FILES
@@ -55,19 +55,20 @@ def stream_ingest(
 
 
 def stream_snapshots(spark: SparkSession, store: Store) -> StreamingQuery:
-    """Rebuild the snapshots of every report date that received new positions.
+    """Refresh the snapshots of the report dates whose files gained or lost versions.
 
-    Each batch recomputes whole report dates from the raw table and replaces their partitions,
-    so a replayed batch writes the same result again.
+    The stream follows the table of file versions, the last thing a load writes. A batch adds the
+    new loads' contributions to their dates and subtracts replaced ones (`plans.snapshots`), so
+    a replayed batch finds nothing left to do.
     """
-    arrived = spark.readStream.schema(tables.raw_schema(PW)).parquet(store.path("positions"))
+    announced = spark.readStream.schema(tables.VERSIONS).parquet(tables.versions_path(store.path("positions")))
 
     def refresh(batch: DataFrame, _: int) -> None:
-        touched = batch.filter(F.col("category") == PW.category).select("REPORT_DATE").distinct()
-        ingest.refresh_snapshots(batch.sparkSession, store, touched)
+        snapshots.refresh(batch.sparkSession, store)
 
     return (
-        arrived.writeStream.trigger(availableNow=True)
+        announced.filter(F.col("category") == PW.category)
+        .writeStream.trigger(availableNow=True)
         .option("checkpointLocation", store.path("checkpoints/snapshots"))
         .foreachBatch(refresh)
         .start()
