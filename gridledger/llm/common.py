@@ -27,10 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame below the shared folder and read it back: later steps survive lost executors
     and do not compute it again."""
+    return stored_at(frame, name)[0]
+
+
+def stored_at(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same, with the path, so that the table can be dropped when it has been read for the last time."""
     spark = frame.sparkSession
     path = new_table_dir(spark, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return spark.read.schema(frame.schema).parquet(path), path
 
 
 BATCH_ROWS = 1000  # rows of an Arrow batch: texts are long, and a task holds a batch several times

@@ -27,8 +27,8 @@ the block. Everything else is exchanged as packed messages between blocks, word
     p, q -> block   counts and tables of what the block asked for; it scores its own texts
 
 A frequent word or pair is one entry per block, so no key gathers rows. Nothing is cut off: every pair
-of every text is counted, and every message grows with the input. Parts are as many as shuffle partitions
-unless given. Scalars (totals of the parts) are all that comes to the driver.
+of every text is counted, and every message grows with the input. There are as many parts as `part_bytes` go into
+the text. Scalars (totals of the parts) are all that comes to the driver.
 
 Words are runs of bytes that are not blank, A-Z lower-cased; each text has one end after its words, which is also the
 context of its first word. Defined results: a null or empty text is its end alone; a null doc_id
@@ -40,7 +40,6 @@ the seed and on how rows lie in partitions. Additional columns are not read.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -54,7 +53,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.common import in_small_batches, map_units, slices, stored
+from gridledger.llm.common import in_small_batches, map_units, slices, stored, stored_at
+from gridledger.session import drop_folder
 
 CODES, DOCS, WORDS, IDS, PAIRS, STATE, STATIC, SUMS, REPLY, TOTAL, ROOT, COUNTS = range(12)
 
@@ -65,12 +65,14 @@ class Settings:
     strength: float = 1.0
     burn_in: int = 1  # rounds before the first kept sample
     samples: int = 2
-    exact: int = 256  # customers up to which tables are drawn from all values
+    exact: int = 256  # customers (of WIDTHS) up to which tables are drawn from all values
     steps: int = 16  # Metropolis steps above
     seed: int = 29
-    parts: int | None = None
-    block_tokens: int = 1 << 21
+    parts: int | None = None  # else so many that each gets about part_bytes of text
+    part_bytes: int = 1 << 24
+    block_bytes: int = 14 << 20  # text of a block
     row: int = 1 << 15  # entries of a message row
+    state_row: int = 1 << 18  # pairs of a state row
 
 
 # -- messages ------------------------------------------------------------------------------------
@@ -161,24 +163,45 @@ def schema_string(messages: DataFrame) -> str:
 # -- texts into codes, words into numbers --------------------------------------------------------
 
 
+def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of some texts as codes, an end (0) after each text; tokens per text; the words by code."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    inside = ~BLANK[data]
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside)).view(np.int8)))
+    start, end = edges[0::2], edges[1::2]
+    letters = data[inside]
+    offsets = np.concatenate(([0], np.cumsum(end - start)))
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(letters)]
+    found = pa.Array.from_buffers(pa.large_binary(), len(start), buffers).dictionary_encode()
+    closes = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    until = np.searchsorted(start, closes)
+    own = np.diff(until, prepend=0)
+    codes = np.zeros(len(start) + len(texts), np.int32)
+    codes[np.arange(len(start)) + np.repeat(np.arange(len(texts)), own)] = found.indices.to_numpy() + 1
+    return codes, own + 1, found.dictionary
+
+
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
 def tokenised(docs: DataFrame, parts: int, settings: Settings) -> DataFrame:
     """CODES and DOCS of every block (to the block), and its WORDS (to the word parts).
 
     The end of a text is the empty word; a block's word 0 is the end.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % settings.folds == 0, F.lit(False))
-    schema = schema_of(docs)
 
-    def flush(block: int, codes: array, words: dict, lengths: list, flags: list, ids: list, out: Outbox) -> pa.Table:
-        code = np.frombuffer(codes, np.int32)
+    def flush(block: int, texts: list[bytes], flags: list, ids: list, out: Outbox) -> pa.Table:
+        code, lengths, words = coded(texts)
+        names = [b"", *words.to_pylist()]
         train = ~np.array(flags, bool)
-        seen = np.bincount(code[np.repeat(train, lengths)], minlength=len(words)).astype(np.int64)
+        seen = np.bincount(code[np.repeat(train, lengths)], minlength=len(names)).astype(np.int64)
         for seq, a in enumerate(range(0, len(code), settings.row)):
             out.send(block, CODES, block, pack(code[a : a + settings.row]), seq)
         for seq, a in enumerate(range(0, len(lengths), settings.row)):
             b = a + settings.row
-            out.send(block, DOCS, block, pack(np.array(lengths[a:b]), np.array(flags[a:b], np.int64)), seq, ids[a:b])
-        names = list(words)
+            out.send(block, DOCS, block, pack(lengths[a:b], np.array(flags[a:b], np.int64)), seq, ids[a:b])
         part = np.fromiter((zlib.crc32(w) % parts for w in names), np.int64, len(names))
         order = np.argsort(part, kind="stable")
         for q, own in split(part[order], order):
@@ -191,30 +214,22 @@ def tokenised(docs: DataFrame, parts: int, settings: Settings) -> DataFrame:
 
     def run(batches):
         base, blocks, out = TaskContext.get().partitionId() << 32, count(), None
-
-        def fresh():
-            words = defaultdict(count().__next__)
-            words[b""]
-            return array("i"), words, [], [], []
-
-        codes, words, lengths, flags, ids = fresh()
+        texts, flags, ids, size = [], [], [], 0
         for batch in batches:
             out = out or Outbox(batch.column(0).type)
             for i, text, held_out in zip(*(batch.column(j).to_pylist() for j in range(3))):
-                before = len(codes)
-                codes.extend(map(words.__getitem__, (text or "").encode("utf-8", "replace").lower().split()))
-                codes.append(0)
-                lengths.append(len(codes) - before)
+                texts.append((text or "").encode("utf-8", "replace").lower())
                 flags.append(held_out)
                 ids.append(i)
-                if len(codes) >= settings.block_tokens:
-                    yield from flush(base + next(blocks), codes, words, lengths, flags, ids, out).to_batches()
-                    codes, words, lengths, flags, ids = fresh()
-        if lengths:
-            yield from flush(base + next(blocks), codes, words, lengths, flags, ids, out).to_batches()
+                size += len(texts[-1]) + 1
+                if size >= settings.block_bytes:
+                    yield from flush(base + next(blocks), texts, flags, ids, out).to_batches()
+                    texts, flags, ids, size = [], [], [], 0
+        if texts:
+            yield from flush(base + next(blocks), texts, flags, ids, out).to_batches()
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held.alias("held"))
-    return in_small_batches(rows).mapInArrow(run, schema)
+    return in_small_batches(rows).mapInArrow(run, schema_of(docs))
 
 
 def split(part: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -372,14 +387,29 @@ def counted(pairs: DataFrame, parts: int, settings: Settings) -> DataFrame:
         )
         sent_by_word(out, STATIC, p, parts, settings.row, x, customers, tables, dishes)
         often = np.flatnonzero(c > 1)
-        for piece, a in enumerate(range(0, len(often), settings.row)):
-            some = often[a : a + settings.row]
+        for piece, a in enumerate(range(0, len(often), settings.state_row)):
+            some = often[a : a + settings.state_row]
             out.send(p << 24 | piece, STATE, p, pack(steps_of(u[some]), w[some], c[some], np.ones(len(some), np.int64)))
         out.send(p, TOTAL, p, pack(np.array([once.sum(), (c == 2).sum(), len(c)])))
 
     return by_receiver(pairs, work)
 
 
+def merged_static(messages: DataFrame, settings: Settings) -> DataFrame:
+    """STATIC sums of all pair parts added up by word."""
+
+    def work(q: int, boxes: dict, out: Outbox) -> None:
+        rows = [unpack(m[2]) for m in boxes[STATIC]]
+        rank = np.concatenate([np.cumsum(r[0]) for r in rows])
+        columns = [np.concatenate([r[i] for r in rows]) for i in (1, 2, 3)]
+        rank, *columns = summed(rank, *columns)
+        for seq, a in enumerate(range(0, len(rank), settings.row)):
+            b = a + settings.row
+            out.send(q, STATIC, q, pack(steps_of(rank[a:b]), *(v[a:b] for v in columns)), seq)
+
+    return by_receiver(messages.filter(F.col("kind") == STATIC), work)
+
+
 def discount(once: int, twice: int) -> float:
     """From the numbers of things seen once and twice; kept inside (0, 1)."""
     return min(0.95, max(0.05, once / max(1, once + 2 * twice)))
@@ -401,6 +431,20 @@ def log_seatings(d: float, most: int) -> np.ndarray:
     return table
 
 
+# Dishes are drawn together with others of up to so many customers.
+WIDTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
+
+
+@lru_cache(maxsize=4)
+def seating_ratios(d: float) -> np.ndarray:
+    """S(c, t + 1) / S(c, t) at [t, c], 0 from t = c on, up to 32 customers."""
+    table = log_seatings(d, 32)
+    out = np.zeros((33, 33))
+    for c in range(2, 33):
+        out[1:c, c] = np.exp(np.diff(table[c, 1 : c + 1]))
+    return out
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """By Stirling's series above 8, shifted there; x > 0."""
     x = np.asarray(x, np.float64)
@@ -414,7 +458,36 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def log_seatings_far(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    """The same at a saddle point of the generating function ((1 - (1 - x)^d) / d)^t / t!."""
+    """The same for many customers: from the generating function ((1 - (1 - x)^d) / d)^t / t!.
+
+    Few tables: the sum over its powers of (1 - x)^d, whose terms fall by t / c^d. Else its saddle point, less
+    what that is off at the same t / c^d with 256 customers, where the numbers are known.
+    """
+    few = t < 0.5 * c**d
+    out = np.empty(len(c))
+    out[few] = _few_tables(c[few], t[few], d)
+    far, same = c[~few], t[~few] * (256 / c[~few]) ** d
+    out[~few] = _saddle_point(far, t[~few], d) + np.interp(same, np.arange(1, 257), _saddle_error(d))
+    return out
+
+
+@lru_cache(maxsize=4)
+def _saddle_error(d: float) -> np.ndarray:
+    t = np.arange(1.0, 257)
+    return log_seatings(d, 256)[256, 1:257] - _saddle_point(np.full(256, 256.0), t, d)
+
+
+def _few_tables(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    first = log_gamma(c - d) + log_gamma(np.full(len(c), 1 + d))
+    total = np.zeros(len(c))
+    for j in range(1, 17):
+        choose = np.where(t >= j, log_gamma(t + 1) - log_gamma(np.maximum(t - j, 0) + 1) - log_gamma(np.array(j + 1.0)), -np.inf)
+        size = choose + log_gamma(np.array(1 + j * d)) + log_gamma(c - j * d) - first
+        total += (-1) ** (j + 1) * np.sin(np.pi * j * d) * np.exp(size)
+    return np.log(total / np.pi) + first - t * np.log(d) - log_gamma(t + 1.0)
+
+
+def _saddle_point(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     low, high = np.full(len(c), -700.0), np.zeros(len(c))  # log(1 - x)
     for _ in range(48):
         middle = (low + high) / 2
@@ -426,8 +499,7 @@ def log_seatings_far(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     g = x * np.exp((d - 1) * y) / h
     spread = t * (g + x**2 * (1 - d) * np.exp((d - 2) * y) / h - g**2)
     far = log_gamma(c + 1.0) - log_gamma(t + 1.0) + t * np.log(h) - c * np.log(x) - 0.5 * np.log(2 * np.pi * np.maximum(spread, 1e-300))
-    one = log_gamma(c - d) - log_gamma(np.full(len(c), 1 - d))
-    return np.where(t == c, 0.0, np.where(t == 1, one, far))
+    return np.where(t == c, 0.0, far)
 
 
 def draw_tables(
@@ -438,13 +510,24 @@ def draw_tables(
     base = settings.strength + d * others
     near = np.flatnonzero((c > 1) & (c <= settings.exact))
     near = near[np.argsort(c[near], kind="stable")]
-    for a, b in slices(c[near], 1 << 20):
-        some = near[a:b]
-        width = int(c[some].max())
-        weight = np.log(base[some, None] + d * np.arange(width)) + np.log(parent[some])[:, None]
-        weight = np.cumsum(weight, axis=1) + log_seatings(d, settings.exact)[c[some], 1 : width + 1]
-        odds = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
-        t[some] = 1 + (odds < odds[:, -1:] * rng.random((len(some), 1))).sum(axis=1)
+    edges = np.searchsorted(c[near], [w + 1 for w in WIDTHS])
+    for width, a, b in zip(WIDTHS, [0, *edges], edges):
+        for begin, end in slices(np.full(b - a, width), 1 << 20):
+            some = near[a + begin : a + end]
+            own, n, pull = base[some], c[some], parent[some]
+            odds = np.empty((width, len(some)))
+            if width <= 32:
+                # Weights by their ratios: at most 31 factors, which a double can hold.
+                ratio = seating_ratios(d)
+                odds[0] = 1.0
+                for j in range(1, width):
+                    odds[j] = odds[j - 1] * ratio[j, n] * ((own + d * j) * pull)
+            else:
+                log = np.log(own + d * np.arange(width)[:, None]) + np.log(pull)
+                log = np.cumsum(log, axis=0) + log_seatings(d, settings.exact)[n, 1 : width + 1].T
+                odds = np.exp(log - log.max(axis=0))
+            odds = odds.cumsum(axis=0)
+            t[some] = 1 + (odds < odds[-1] * rng.random(len(some))).sum(axis=0)
     far = np.flatnonzero(c > settings.exact)
     if len(far):
         n, own, p = c[far], base[far], parent[far]
@@ -545,8 +628,8 @@ class Restaurants:
         return np.array([self.customers.sum(), self.root_tables.sum()])
 
 
-def seated(states: DataFrame, static: DataFrame, model: Model, parts: int, turn: int, settings: Settings) -> DataFrame:
-    """One round: new STATE rows."""
+def replied(states: DataFrame, static: DataFrame, model: Model, parts: int, turn: int, settings: Settings) -> DataFrame:
+    """First half of a round: REPLY rows with the sizes that each state asked for, TOTAL of the root."""
 
     def weigh(q: int, boxes: dict, out: Outbox) -> None:
         rng = np.random.default_rng([settings.seed, turn, 0, q])
@@ -556,7 +639,11 @@ def seated(states: DataFrame, static: DataFrame, model: Model, parts: int, turn:
             out.send(to, REPLY, q, pack(steps_of(x), *sizes.at(x)), seq)
         out.send(q, TOTAL, q, pack(sizes.total()))
 
-    replies = stored(by_receiver(static.unionByName(state_sums(states, parts, settings)), weigh), "replies")
+    return by_receiver(static.unionByName(state_sums(states, parts, settings)), weigh)
+
+
+def seated(states: DataFrame, replies: DataFrame, model: Model, parts: int, turn: int, settings: Settings) -> DataFrame:
+    """Second half: new STATE rows."""
     root = root_of(totals(replies))
 
     def seat(piece: int, boxes: dict, out: Outbox) -> None:
@@ -591,22 +678,30 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     base_score is the sum of log10((c + 0.1) / (N + 0.1 (V + 1))) over the tokens.
     """
     spark = docs.sparkSession
-    parts = settings.parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = settings.parts
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        parts = max(1, -(-size // settings.part_bytes))
     blocks = stored(tokenised(docs, parts, settings), "blocks")
     texts = blocks.filter(F.col("kind").isin(CODES, DOCS))
     ids = stored(numbered(blocks, parts), "word-numbers")
     known, tokens, once, twice = (int(v) for v in totals(ids).get((), (0, 0, 0, 0)))
     pairs = stored(paired(texts, ids, parts, settings), "pairs")
-    counts = stored(counted(pairs, parts, settings), "pair-counts")
+    counts, counts_path = stored_at(counted(pairs, parts, settings), "pair-counts")
     pairs_once, pairs_twice, _ = totals(counts).get((), (0, 0, 0))
     model = Model(known, tokens, discount(int(pairs_once), int(pairs_twice)), discount(once, twice), settings.strength)
-    states = counts.filter(F.col("kind") == STATE)
-    static = counts.filter(F.col("kind") == STATIC)
+    static = stored(merged_static(counts, settings), "static")
+    states, path = counts.filter(F.col("kind") == STATE), counts_path
     kept = []
     for turn in range(settings.burn_in + settings.samples):
-        states = stored(seated(states, static, model, parts, turn, settings), "states")
+        before = path
+        replies, replies_path = stored_at(replied(states, static, model, parts, turn, settings), "replies")
+        states, path = stored_at(seated(states, replies, model, parts, turn, settings), "states")
+        drop_folder(spark, replies_path)
         if turn >= settings.burn_in:
             kept.append(states)
+        if turn <= settings.burn_in:
+            drop_folder(spark, before)  # not a kept sample, and read for the last time
     return _scored(texts, ids, pairs, static, kept, model, parts, settings, docs)
 
 
@@ -623,12 +718,15 @@ def block_scores(own: Block, boxes: dict, model: Model, root: list, settings: Se
     pair = np.concatenate([some for _, _, some in own.messages(settings.row)])
     counts = [np.concatenate(c) for c in zip(*(unpack(m[2]) for m in boxes[COUNTS]))]
     left, right = own.left[pair], own.right[pair]
+    c = counts[0]
     size = by_word(1)
     odds = np.zeros(len(pair))
     for s, whole in enumerate(root):
         tables, customers, root_tables = (by_word(2 + 3 * s + j) for j in range(3))
         parent = model.parent(customers, root_tables, whole)
-        odds += model.predict(counts[0], counts[1 + s], size[left], tables[left], parent[right])
+        t = np.minimum(c, 1)
+        t[c > 1] = counts[1 + s]
+        odds += model.predict(c, t, size[left], tables[left], parent[right])
     log = np.empty(len(pair))
     log[pair] = np.log10(odds / len(root))
     starts = np.cumsum(own.lengths) - own.lengths
@@ -675,7 +773,7 @@ def _scored(texts, ids, pairs, static, kept, model: Model, parts: int, settings:
 
     def tables(p: int, boxes: dict, out: Outbox) -> None:
         _, _, c, place = gathered(boxes[PAIRS])
-        t = np.minimum(c, 1)[None, :].repeat(n_kept, axis=0)
+        t = np.zeros((n_kept, len(c)), np.int64)
         for s in range(n_kept):
             rows = sorted(boxes[STATE + 100 * (s + 1)])
             if rows:
@@ -684,7 +782,8 @@ def _scored(texts, ids, pairs, static, kept, model: Model, parts: int, settings:
         for block, seq, data, _ in boxes[PAIRS]:
             own = place[at : at + len(unpack(data)[0])]
             at += len(own)
-            out.send(block, COUNTS, p, pack(c[own], *(t[s, own] for s in range(n_kept))), seq)
+            often = own[c[own] > 1]
+            out.send(block, COUNTS, p, pack(c[own], *(t[s, often] for s in range(n_kept))), seq)
 
     sent = pairs
     for frame in marked:
