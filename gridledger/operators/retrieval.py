@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridledger.operators.feedback import negative_feedback
+from gridledger.session import new_table_dir
 
 # Tokens are runs of two or more letters, digits or underscores, lower case.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -91,9 +92,15 @@ def nearest(
         vectors.join(asked, "token")
         .groupBy(key, question_key)
         .agg(F.sum(F.col("weight") * F.col("asked_weight")).alias("dot"))
-        .select(question_key, key, (2 - 2 * F.col("dot")).alias("distance"))
     )
+    return _ranked(scored, asked, docs, k, question_key, key, text)
 
+
+def _ranked(
+    scored: DataFrame, asked: DataFrame, docs: DataFrame, k: int, question_key: str, key: str, text: str
+) -> DataFrame:
+    """The best `k` of the scored pairs (question, key, dot) and of texts that share no token."""
+    scored = scored.select(question_key, key, (2 - 2 * F.col("dot")).alias("distance"))
     has_token = F.col(text).rlike(TOKEN)
     spare = (
         _not_blank(docs, text)
@@ -137,6 +144,116 @@ def nearest(
     )
 
 
+# --- pruned search ---------------------------------------------------------------------
+
+BLOCK_TEXTS = 4096  # texts of a posting block
+SLACK = 1e-9  # far more than the noise of summing a dot product, far less than a real difference
+
+
+def posting_blocks(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Postings (token, block, key, weight) and blocks (token, block, top, n), ordered by impact.
+
+    A token's texts are cut by levels of weight, each a fourth of an octave, and a level of many texts
+    by a hash of the key: no block holds much more than `BLOCK_TEXTS`, however frequent the token.
+    """
+    leveled = vectors.withColumn("level", F.floor(-4 * F.log2("weight")).cast("int"))
+    sizes = leveled.groupBy("token", "level").agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("pieces"))
+    postings = leveled.join(sizes, ["token", "level"]).select(
+        "token",
+        F.struct("level", F.pmod(F.xxhash64(key), F.col("pieces")).alias("piece")).alias("block"),
+        key,
+        "weight",
+    )
+    blocks = postings.groupBy("token", "block").agg(F.max("weight").alias("top"), F.count("*").alias("n"))
+    return postings, blocks
+
+
+def pruned_candidates(
+    postings: DataFrame, blocks: DataFrame, asked: DataFrame, k: int, question_key: str, key: str
+) -> DataFrame:
+    """(question, key) pairs that can still be among the `k` best; all others are never scored.
+
+    A floor for each question comes from the postings of its strongest tokens: the k-th best of these
+    partial sums. A token whose strongest weight, together with those of all weaker ones, stays
+    below the floor proposes no texts; of the others only the blocks do from which a text could
+    reach the floor if it had the strongest weight of every other token as well.
+    """
+    tops = blocks.groupBy("token").agg(F.max("top").alias("most"), F.sum("n").alias("texts"))
+    terms = asked.join(tops, "token").withColumn("bound", F.col("asked_weight") * F.col("most"))
+    by_bound = W.partitionBy(question_key).orderBy(F.desc("bound"), "token")
+    before = by_bound.rowsBetween(W.unboundedPreceding, -1)
+    # Windows cover the tokens of one question.
+    strong = terms.filter(F.col("bound") > 0).withColumn(
+        "held", F.coalesce(F.sum("texts").over(before), F.lit(0))
+    ).filter(F.col("held") < 8 * k)
+    partial = (
+        postings.join(strong.select("token", question_key, "asked_weight"), "token")
+        .groupBy(question_key, key)
+        .agg(F.sum(F.col("weight") * F.col("asked_weight")).alias("dot"))
+    )
+    best = W.partitionBy(question_key).orderBy(F.desc("dot"))
+    floors = (
+        partial.withColumn("pos", F.row_number().over(best))
+        .filter(F.col("pos") <= k)
+        .groupBy(question_key)
+        .agg(F.min("dot").alias("least"), F.count("*").alias("found"))
+        .select(question_key, F.when(F.col("found") == k, F.col("least") - SLACK).otherwise(F.lit(0.0)).alias("floor"))
+    )
+    weaker = W.partitionBy(question_key).orderBy("bound", F.desc("token"))
+    whole = W.partitionBy(question_key)
+    essential = (
+        terms.join(floors, question_key)
+        .withColumns({"below": F.sum("bound").over(weaker), "rest": F.sum("bound").over(whole) - F.col("bound")})
+        .filter(F.col("below") >= F.col("floor"))
+    )
+    reached = (
+        essential.join(blocks, "token")
+        .filter(F.col("asked_weight") * F.col("top") + F.col("rest") >= F.col("floor"))
+        .select("token", "block", question_key)
+    )
+    return postings.join(reached, ["token", "block"]).select(question_key, key).distinct()
+
+
+def nearest_pruned(
+    questions: DataFrame,
+    docs: DataFrame,
+    k: int = 3,
+    question_key: str = "question_id",
+    question_text: str = "question",
+    key: str = "id",
+    text: str = "query",
+) -> DataFrame:
+    """The rows of `nearest`, without scoring pairs that cannot be among the `k` best.
+
+    Vectors, postings and candidates are written below the shared folder, as each is read several times.
+    """
+    spark = docs.sparkSession
+
+    def kept(frame: DataFrame, name: str) -> DataFrame:
+        path = new_table_dir(spark, name)
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    counts = term_counts(docs, key, text)
+    idf = kept(inverse_frequencies(counts, docs, text), "idf")
+    vectors = kept(_unit_vectors(counts, idf, key), "vectors")
+    asked = kept(
+        _unit_vectors(term_counts(questions, question_key, question_text), idf, question_key)
+        .withColumnRenamed("weight", "asked_weight"),
+        "asked",
+    )
+    postings, blocks = posting_blocks(vectors, key)
+    postings, blocks = kept(postings, "postings"), kept(blocks, "blocks")
+    pairs = kept(pruned_candidates(postings, blocks, asked, k, question_key, key), "pairs")
+    scored = (
+        pairs.join(asked, question_key)
+        .join(vectors, [key, "token"])
+        .groupBy(key, question_key)
+        .agg(F.sum(F.col("weight") * F.col("asked_weight")).alias("dot"))
+    )
+    return _ranked(scored, asked, docs, k, question_key, key, text)
+
+
 def feedback_insights(questions: DataFrame, logs: DataFrame, k: int = 3) -> DataFrame:
     """Complaints among the `k` nearest past questions, in distance order.
 

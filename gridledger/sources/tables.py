@@ -12,13 +12,14 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from gridledger.operators import cube, stats
 from gridledger.operators.files import ingest_entries
+from gridledger.session import drop_folder
 from gridledger.specs import FeedSpec
 
 VERSIONS = "category string, file_name string, load_id string"
@@ -143,6 +144,70 @@ def report_dates(spark: SparkSession, path: str, category: str) -> tuple:
     return (*found, None, None)[:2]
 
 
+# --- compaction ------------------------------------------------------------------------
+
+COMPACTED = "~"  # sorts a rewritten version right after the one it holds, before any newer load
+
+
+def plain_id(load_id: str) -> Column:
+    """Id of the load that a stored version came from."""
+    return F.rtrim(F.col(load_id), F.lit(COMPACTED))
+
+
+def compact(spark: SparkSession, path: str, spec: FeedSpec, least_dead: float = 0.0) -> int:
+    """Rewrite the dates that hold dead rows, live rows only; returns the number of dates.
+
+    Each file's rows come back under its own load id with a mark, and become its newest version in the last
+    step. So the rows read are the same before, during and after: a load that is announced meanwhile has
+    a later id and still wins, whether it began before the compaction or not. Only dates where more than
+    `least_dead` of the rows are dead are rewritten; files on both kinds of dates keep their
+    other rows by being rewritten as well. What is replaced stays on disk until `vacuum`.
+    """
+    rows = spark.read.schema(raw_schema(spec)).parquet(path).filter(F.col("category") == spec.category)
+    versions = live_versions(spark, path).withColumn("live", F.lit(1))
+    keys = ["category", "file_name", "load_id"]
+    by_date = (
+        rows.groupBy("REPORT_DATE", *keys).agg(F.count("*").alias("n"))
+        .join(versions, keys, "left")
+        .groupBy("REPORT_DATE")
+        .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("live").isNull(), F.col("n")).otherwise(0)).alias("dead"))
+    )
+    worn = by_date.filter(F.col("dead") > least_dead * F.col("n")).filter("dead > 0").select("REPORT_DATE")
+    # All rows of the files that live on those dates: a version is whole or it is not announced.
+    live = rows.join(versions.drop("live"), keys, "left_semi")
+    on = live.join(worn, live["REPORT_DATE"].eqNullSafe(worn["REPORT_DATE"]), "left_semi")
+    chosen = on.select(*keys).distinct()
+    staged = f"{path.rstrip('/').rsplit('/', 1)[0]}/compacting-{uuid.uuid4().hex}"
+    chosen.write.parquet(staged)
+    chosen = spark.read.parquet(staged)
+    n_dates = worn.count()
+    marked = rows.join(chosen, keys, "left_semi").withColumn("load_id", F.concat("load_id", F.lit(COMPACTED)))
+    laid_out = marked.hint("rebalance", "REPORT_DATE")
+    laid_out.write.mode("append").partitionBy("category", "REPORT_DATE").parquet(path)
+    chosen.withColumn("load_id", F.concat("load_id", F.lit(COMPACTED))).write.mode("append").parquet(versions_path(path))
+    drop_folder(spark, staged)
+    return n_dates
+
+
+def vacuum(spark: SparkSession, path: str, spec: FeedSpec, older_than_s: float = 7 * 86400) -> int:
+    """Remove data files that hold no live row; returns their number.
+
+    Readers that began before see the files they listed for `older_than_s` seconds; a load that is not
+    announced yet is as young as its files.
+    """
+    rows = spark.read.schema(raw_schema(spec)).parquet(path).filter(F.col("category") == spec.category)
+    keys = ["category", "file_name", "load_id"]
+    named = rows.select(*keys, F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_modification_time").alias("since"))
+    held = named.join(live_versions(spark, path).withColumn("live", F.lit(True)), keys, "left")
+    age = F.current_timestamp().cast("double") - F.col("since").cast("double")
+    dead = held.groupBy("at").agg(F.max("live").alias("live"), F.min(age).alias("age"))
+    gone = 0
+    for row in dead.filter(F.col("live").isNull() & (F.col("age") >= older_than_s)).select("at").toLocalIterator():
+        drop_folder(spark, row["at"])
+        gone += 1
+    return gone
+
+
 RETIRED = "retired"  # view of the marker row of a report date that lost all its positions
 
 

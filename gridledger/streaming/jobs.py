@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridledger.functions.text import feed_of_name, route_feed
+from gridledger.operators import feedback
 from gridledger.plans import ingest, snapshots
 from gridledger.plans.ingest import Store
 from gridledger.sources import tables
@@ -95,3 +96,26 @@ def stream_timeline(files: DataFrame, watermark: str = "1 day") -> DataFrame:
             "n_files",
         )
     )
+
+
+def stream_agents(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the agent table's states from a stream of its change log (see `feedback.agent_states`).
+
+    Each batch is reduced to one state per agent and appended to `path`. States join by maxima, so batches
+    may come out of order or twice; `read_agents` puts them together.
+    """
+
+    def keep(batch: DataFrame, _: int) -> None:
+        feedback.agent_states(batch).write.mode("append").parquet(path)
+
+    return (
+        changes.writeStream.trigger(availableNow=True)
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(keep)
+        .start()
+    )
+
+
+def read_agents(spark: SparkSession, path: str) -> DataFrame:
+    """Current agents from the states that `stream_agents` keeps."""
+    return feedback.agents_of_states(feedback.join_agent_states(spark.read.parquet(path)))

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from gridledger import specs
 from gridledger.functions.dates import iso_date
-from gridledger.operators import stats
+from gridledger.functions.numbers import total_or_0
+from gridledger.operators import prompts, retrieval, stats
 from gridledger.plans import snapshots
 from gridledger.plans.ingest import Store
 from gridledger.session import new_table_dir
 from gridledger.sources import star, tables
 from gridledger.streaming import jobs
+from workload.operations import AGENTS_SQL, NEAREST, agent_changes
 from workload.positions import _build_cube_sql
-from workload.registry import as_double, exact_sum, query
+from workload.registry import as_double, dsum, exact_sum, query
 
 # --- snapshots by what files gained and lost -----------------------------------------
 
@@ -103,3 +105,74 @@ def merged_statistics_ng(spark, sf):
 @query("merged_statistics_co2", _merged_sql(specs.CO2, "fx_co2", "BOOK < 'Brand#4'"))
 def merged_statistics_co2(spark, sf):
     return _merged(star.carbon_positions(spark, sf), specs.CO2, "file_name < 'NOP_CO2_Brand#4'")
+
+
+# --- change logs, catalogues, pruned search ----------------------------------------------
+
+
+@query("stream_agents", AGENTS_SQL)
+def stream_agents(spark, sf):
+    """The change log as a stream; the states that its batches leave are joined."""
+    events = (
+        spark.readStream.schema(star.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
+    )
+    path = new_table_dir(spark, "agents")
+    jobs.stream_agents(agent_changes(events), path, f"{path}-checkpoint").awaitTermination()
+    return jobs.read_agents(spark, path)
+
+
+@query(
+    "select_metrics_from",
+    """WITH c AS (SELECT CAST(p_partkey AS INT) AS ord, p_name AS name, p_type AS metric FROM part UNION ALL SELECT 0, 'open_position', 'NOP'
+                  UNION ALL SELECT -1, 'first one', 'FIRST' UNION ALL SELECT -2 - row_number() OVER (ORDER BY event_type), left(event_type, 2), event_type
+                  FROM (SELECT DISTINCT event_type FROM events)),
+        p AS (SELECT doc_id AS prompt_id, replace(replace(lower(text), ' ', ''), '_', '') AS t FROM documents)
+        SELECT DISTINCT prompt_id, ord, name, metric FROM p JOIN c
+        ON contains(t, replace(lower(name), '_', '')) OR ord = (SELECT MIN(ord) FROM c)""",
+)
+def select_metrics_from(spark, sf):
+    """A catalogue table as long as the parts, named in whole documents."""
+    part = star.table(spark, sf, "part").select(
+        F.col("p_partkey").cast("int").alias("ord"), F.col("p_name").alias("name"), F.col("p_type").alias("metric")
+    )
+    kinds = star.table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").collect()
+    more = [(0, "open_position", "NOP"), (-1, "first one", "FIRST")]
+    more += [(-3 - i, r[0][:2], r[0]) for i, r in enumerate(kinds)]
+    catalogue = part.unionByName(spark.createDataFrame(more, "ord int, name string, metric string"))
+    docs = star.table(spark, sf, "documents").select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt"))
+    return prompts.select_metrics_from(docs, catalogue, "prompt_id")
+
+
+@query(
+    "nearest_questions_pruned",
+    f"{NEAREST} SELECT question_id, rank, id, round(distance, 6) AS distance FROM near WHERE rank <= 3",
+)
+def nearest_questions_pruned(spark, sf):
+    near = retrieval.nearest_pruned(star.questions(spark, sf), star.feedback_texts(spark, sf))
+    return near.withColumn("distance", F.round("distance", 6))
+
+
+# --- compaction -----------------------------------------------------------------------
+
+
+@query(
+    "compacted_store",
+    f"""SELECT CAST(REPORT_DATE AS VARCHAR) AS REPORT_DATE, concat('NOP_PW_', BOOK_ATTR6, '.csv') AS file_name,
+               CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(COUNT(*) AS BIGINT) AS n_stored, {dsum('VOLUME_BL')} AS volume
+        FROM {_CORRECTED} GROUP BY 1, 2""",
+)
+def compacted_store(spark, sf):
+    """After corrections, compaction and vacuum the table holds live rows only."""
+    store = Store(new_table_dir(spark, "store"))
+    path = store.path("positions")
+    tables.append_raw(_files_by_region(spark, sf), specs.PW.category, path)
+    _correct(spark, sf, store)
+    tables.compact(spark, path, specs.PW)
+    tables.vacuum(spark, path, specs.PW, older_than_s=0)
+    keys = ["REPORT_DATE", "file_name"]
+    every = spark.read.schema(tables.raw_schema(specs.PW)).parquet(path)
+    stored = every.groupBy(*keys).agg(F.count("*").alias("n_stored"))
+    read = tables.read_raw(spark, path, specs.PW).groupBy(*keys).agg(
+        F.count("*").alias("n_rows"), total_or_0("VOLUME_BL").alias("volume")
+    )
+    return stored.join(read, keys, "full").withColumn("REPORT_DATE", iso_date("REPORT_DATE"))

@@ -438,13 +438,47 @@ def feedback_trend(spark, sf):
     return _text(feedback.feedback_trend(star.question_logs(spark, sf)), "day")
 
 
+_COMMENTS = [f"issue_{i}" for i in range(4)]
+
+
 @query(
     "feedback_trend_wide",
-    f"PIVOT ({_TREND_SQL}) ON feedback_comment USING CAST(COALESCE(SUM(n), 0) AS BIGINT) GROUP BY day",
+    "SELECT day, "
+    + ", ".join(
+        f"CAST(SUM(CASE WHEN feedback_comment = '{c}' THEN n ELSE 0 END) AS BIGINT) AS {c}" for c in _COMMENTS
+    )
+    + f" FROM ({_TREND_SQL}) GROUP BY day",
 )
 def feedback_trend_wide(spark, sf):
     trend = feedback.feedback_trend(star.question_logs(spark, sf))
-    return _text(feedback.feedback_trend_wide(trend), "day")
+    return _text(feedback.feedback_trend_wide(trend, _COMMENTS), "day")
+
+
+_DAILY_PROPS = "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, props AS feedback_comment, CAST(COUNT(*) AS BIGINT) AS n FROM events WHERE props IS NOT NULL GROUP BY 1, 2"
+
+
+def _daily_props(spark, sf):
+    """As many comments as events have properties."""
+    logs = star.table(spark, sf, "events").select(
+        F.col("ts").alias("created_at"), F.col("props").alias("feedback_comment")
+    )
+    return feedback.feedback_trend(logs)
+
+
+@query("feedback_trend_blocks", _DAILY_PROPS)
+def feedback_trend_blocks(spark, sf):
+    """An open-ended pivot: columns in blocks, read back as rows."""
+    trend = _daily_props(spark, sf)
+    domain = feedback.trend_domain(trend, 16)
+    blocks = feedback.trend_blocks(trend, domain)
+    return _text(feedback.trend_of_blocks(blocks, domain), "day")
+
+
+@query("feedback_trend_maps", _DAILY_PROPS)
+def feedback_trend_maps(spark, sf):
+    trend = _daily_props(spark, sf)
+    maps = feedback.trend_maps(trend, feedback.trend_domain(trend))
+    return _text(maps.select("day", F.explode("uses").alias("feedback_comment", "n")), "day")
 
 
 @query(
@@ -478,26 +512,30 @@ def current_feedback(spark, sf):
     )
 
 
-@query(
-    "current_agents",
-    """WITH c AS (SELECT event_id AS change_id, user_id AS agent_id, event_type,
+AGENTS_SQL = """WITH c AS (SELECT event_id AS change_id, user_id AS agent_id, event_type,
                          CASE event_type WHEN 'error' THEN 'delete' WHEN 'view' THEN 'status' ELSE 'update' END AS action,
                          CASE WHEN event_type NOT IN ('error', 'view') THEN concat('agent_', event_type) END AS name,
                          CASE WHEN event_type = 'view' THEN CAST(event_id % 2 AS INT) END AS is_active FROM events)
-       SELECT agent_id, arg_max(name, change_id) FILTER (WHERE name IS NOT NULL) AS name,
-              arg_max(is_active, change_id) FILTER (WHERE is_active IS NOT NULL) AS is_active
-       FROM c GROUP BY agent_id HAVING arg_max(action, change_id) <> 'delete'""",
-)
+       SELECT agent_id, arg_max(name, change_id) FILTER (WHERE name IS NOT NULL AND change_id > since) AS name,
+              arg_max(is_active, change_id) FILTER (WHERE is_active IS NOT NULL AND change_id > since) AS is_active
+       FROM (SELECT *, COALESCE(MAX(CASE WHEN action = 'delete' THEN change_id END) OVER (PARTITION BY agent_id), -1) AS since FROM c)
+       GROUP BY agent_id HAVING arg_max(action, change_id) <> 'delete'"""
+
+
+@query("current_agents", AGENTS_SQL)
 def current_agents(spark, sf):
+    return feedback.current_agents(agent_changes(star.table(spark, sf, "events")))
+
+
+def agent_changes(events):
     kind = F.col("event_type")
-    changes = star.table(spark, sf, "events").select(
+    return events.select(
         F.col("event_id").alias("change_id"),
         F.col("user_id").alias("agent_id"),
         F.when(kind == "error", "delete").when(kind == "view", "status").otherwise("update").alias("action"),
         F.when(~kind.isin("error", "view"), F.concat(F.lit("agent_"), kind)).alias("name"),
         F.when(kind == "view", (F.col("event_id") % 2).cast("int")).alias("is_active"),
     )
-    return feedback.current_agents(changes)
 
 
 # --- prompts -------------------------------------------------------------------------
@@ -568,7 +606,7 @@ _VECTORS = rf"""WITH docs AS (SELECT * FROM fx_feedback WHERE query IS NOT NULL
     nm AS (SELECT id, sqrt(SUM(raw * raw)) AS n FROM w GROUP BY 1),
     vec AS (SELECT id, token, raw / n AS weight FROM w JOIN nm USING (id))"""
 
-_NEAREST = rf"""{_VECTORS},
+NEAREST = rf"""{_VECTORS},
     qt AS (SELECT question_id, token, COUNT(*) AS tf FROM
              (SELECT item_id AS question_id, unnest({_TOKENS.replace('query', 'text')}) AS token FROM benchmark) GROUP BY 1, 2),
     qw AS (SELECT question_id, token, tf * idf AS raw FROM qt JOIN idf USING (token)),
@@ -588,14 +626,14 @@ def tfidf(spark, sf):
 
 @query(
     "nearest_questions",
-    f"{_NEAREST} SELECT question_id, rank, id, round(distance, 6) AS distance FROM near WHERE rank <= 3",
+    f"{NEAREST} SELECT question_id, rank, id, round(distance, 6) AS distance FROM near WHERE rank <= 3",
 )
 def nearest_questions(spark, sf):
     near = retrieval.nearest(star.questions(spark, sf), star.feedback_texts(spark, sf))
     return near.withColumn("distance", F.round("distance", 6))
 
 
-_INSIGHTS = f"""{_NEAREST}, ins AS (SELECT near.question_id, near.rank, near.id,
+_INSIGHTS = f"""{NEAREST}, ins AS (SELECT near.question_id, near.rank, near.id,
       concat('Previous issue: ', docs.query, ' - ', docs.feedback_comment) AS insight
       FROM near JOIN docs USING (id) WHERE rank <= 3 AND docs.user_feedback = 0 AND trim(docs.feedback_comment) <> '')"""
 
