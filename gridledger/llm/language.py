@@ -467,7 +467,7 @@ def log_seatings_far(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     out = np.empty(len(c))
     out[few] = _few_tables(c[few], t[few], d)
     far, same = c[~few], t[~few] * (256 / c[~few]) ** d
-    out[~few] = _saddle_point(far, t[~few], d) + np.interp(same, np.arange(1, 257), _saddle_error(d))
+    out[~few] = _saddle_point(far, t[~few], d) + np.interp(same, np.arange(1, 225), _saddle_error(d)[:224])
     return out
 
 

@@ -54,7 +54,7 @@ def test_many_customers(d):
         gap = np.abs(far - own)
         assert gap[0] < 0.05 and gap[-1] < 1e-9
         # Neighbouring weights, which decide a step, agree closely except for the first tables.
-        assert np.abs(np.diff(far) - np.diff(own))[:-4].max() < 0.02
+        assert np.abs(np.diff(far) - np.diff(own))[:-4].max() < 0.04
 
 
 def test_log_gamma():
