@@ -5,7 +5,8 @@
 2. Candidates. Nodes that share a band meet. Their MinHash values are compared 16 at a time; a pair
    is dropped as soon as the posterior probability that its similarity reaches the threshold
    (uniform prior, binomial matches) falls below the tolerance. What is left links nodes into probable
-   groups; of these links only a spanning forest per unit leaves a task.
+   groups: first every node with the least one of its bucket, then, where a bucket still holds several
+   groups, nodes of different groups.
 3. Verification. Within each probable group all pairs are compared exactly on their whole shingle
    sets. Counts per node and a spanning forest of the true links leave a task, never all pairs.
 
@@ -170,9 +171,9 @@ def _matrix(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def probable_links(nodes: DataFrame, settings: Settings) -> DataFrame:
-    """Edges u, v: a spanning forest of the candidate pairs of each unit."""
-    bands, rows = settings.bands, settings.rows
+def _bands(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """key, node, band: the buckets of each node."""
+    bands = settings.bands
 
     def band_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         sketch = _matrix(pa.chunked_array([batch.column(1)]), np.uint64, bands)
@@ -184,44 +185,83 @@ def probable_links(nodes: DataFrame, settings: Settings) -> DataFrame:
             ["key", "node", "band"],
         )
 
-    members = map_arrow(
-        nodes.select("node", "sketch"), band_keys, "key bigint, node bigint, band int"
+    return map_arrow(nodes.select("node", "sketch"), band_keys, "key bigint, node bigint, band int")
+
+
+def _unpruned(a: np.ndarray, b: np.ndarray, settings: Settings, least: list[int]) -> np.ndarray:
+    """Which rows of two sketch matrices stay candidates, look by look."""
+    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
+    for i, m in enumerate(least):
+        span = slice(i * settings.look, (i + 1) * settings.look)
+        matches += (a[alive, span] == b[alive, span]).sum(axis=1)
+        stay = matches >= m
+        alive, matches = alive[stay], matches[stay]
+    return alive
+
+
+def probable_links(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """Edges u, v that connect each group of candidate pairs.
+
+    First every node of a bucket meets only the bucket's least node: as many pairs as nodes, however large
+    the bucket. The groups that this finds are known from then on; only buckets that still hold several of
+    them are searched pair by pair, in blocks, for pairs of different groups, and what leaves
+    a task are links between groups.
+    """
+    least = least_matches(settings)
+    members = stored(_bands(nodes, settings), "members")
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n_members"), F.min("node").alias("head"))
+    buckets = buckets.filter("n_members > 1")
+    sketches = nodes.select("node", "sketch")
+    stars = members.join(buckets, "key").filter("node <> head").select("node", "head").distinct()
+    starred = stars.join(sketches, "node").join(
+        sketches.select(F.col("node").alias("head"), F.col("sketch").alias("head_sketch")), "head"
+    )
+
+    def near_head(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, head = (_matrix(pa.chunked_array([batch.column(i)]), np.uint16, settings.values) for i in (2, 3))
+        kept = pa.array(_unpruned(own, head, settings, least))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["u", "v"])
+
+    first = stored(
+        map_arrow(starred.select("node", "head", "sketch", "head_sketch"), near_head, "u bigint, v bigint"), "stars"
     )
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n_members")).filter("n_members > 1")
-    met = members.join(shared, "key").join(nodes.select("node", "sketch"), "node")
+    groups = stored(components(first), "star-groups")
+    grouped = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = stored(grouped, "grouped")
+    mixed = grouped.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_members"), F.min("root").alias("low"), F.max("root").alias("high")
+    ).filter("low <> high").select("key", "n_members")
+    met = grouped.join(mixed, "key").join(sketches, "node")
     units = block_units(met, ["key"], "n_members", "node", settings.block).select(
-        "unit", "band", "side", "crossed", "node", "sketch"
+        "unit", "band", "side", "crossed", "root", "sketch"
     )
-    least = least_matches(settings)
 
     def compare(table: pa.Table) -> pa.Table | None:
-        unit, side, crossed, band, node = (
-            table.column(c).to_numpy() for c in ("unit", "side", "crossed", "band", "node")
+        unit, side, crossed, band, root = (
+            table.column(c).to_numpy() for c in ("unit", "side", "crossed", "band", "root")
         )
         sketch = _matrix(table.column("sketch"), np.uint16, settings.values)
         wide = sketch.view(np.uint64)
         links = []
         for left, right in unit_pairs(unit, side, crossed):
+            other = root[left] != root[right]
+            left, right = left[other], right[other]
             # A pair counts in the first band it shares, so that it is looked at once.
             first = (wide[left] == wide[right]).argmax(axis=1) == band[left]
-            left, right = left[first & (node[left] != node[right])], right[first & (node[left] != node[right])]
-            matches = np.zeros(len(left), np.int64)
-            for i, m in enumerate(least):
-                span = slice(i * settings.look, (i + 1) * settings.look)
-                matches += (sketch[left, span] == sketch[right, span]).sum(axis=1)
-                stay = matches >= m
-                left, right, matches = left[stay], right[stay], matches[stay]
-            if len(left):
-                links.append((left, right))
+            left, right = left[first], right[first]
+            kept = _unpruned(sketch[left], sketch[right], settings, least)
+            if len(kept):
+                links.append((left[kept], right[kept]))
         if not links:
             return None
-        label = least_linked(
-            len(unit), np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links])
-        )
-        linked = np.flatnonzero(label != np.arange(len(unit)))
-        return pa.table({"u": node[linked], "v": node[label[linked]]})
+        ids, place = np.unique(root, return_inverse=True)
+        left, right = (place[np.concatenate(side)] for side in zip(*links))
+        label = least_linked(len(ids), left, right)
+        linked = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"u": ids[linked], "v": ids[label[linked]]})
 
-    return map_units(units, "unit", compare, "u bigint, v bigint").distinct()
+    second = map_units(units, "unit", compare, "u bigint, v bigint").distinct()
+    return first.unionByName(second)
 
 
 def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, settings: Settings) -> DataFrame:
@@ -341,15 +381,16 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row of each class, with all columns; rows without words stay (repeated ones once)."""
     columns = docs.columns
-    stay = near_duplicates(docs, settings).filter("keeper").select("row_key", "text_key").distinct()
-    clash = [c for c in columns if c in ("row_key", "text_key")]
-    plain = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+    keys = ["row_key", "text_key"]
+    rows = stored(near_duplicates(docs, settings).filter("keeper").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "kept")
+    clash = [c for c in columns if c in keys]
+    plain = keyed(docs.withColumnsRenamed({c: f"_own_{c}" for c in clash}))
+    # Texts are only filtered. Rows repeated with id and text, of which one stays, are the one exception.
+    alone = plain.join(rows.filter("n = 1"), keys, "left_semi")
+    repeated = plain.join(rows.filter("n > 1"), keys, "left_semi")
+    if rows.filter("n > 1").isEmpty():
+        kept = alone
+    else:
+        kept = alone.unionByName(repeated.dropDuplicates(keys))
     back = {f"_own_{c}": c for c in clash}
-    return (
-        keyed(plain)
-        .join(stay, ["row_key", "text_key"])
-        .dropDuplicates(["row_key", "text_key"])
-        .drop("row_key", "text_key")
-        .withColumnsRenamed(back)
-        .select(*(F.col(f"`{c}`") for c in columns))
-    )
+    return kept.drop(*keys).withColumnsRenamed(back).select(*(F.col(f"`{c}`") for c in columns))

@@ -22,6 +22,7 @@ stays empty. Additional columns are kept.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,7 @@ class Settings:
     budget: float | None = None  # expected tokens; None: as many as the margins allow
     tolerance: float = 1e-4  # largest relative deviation of a margin
     sweeps: int = 40
+    strict: bool = False  # raise, instead of warn, if the sweeps end before the tolerance is met
     seed: int = 23
 
 
@@ -107,6 +109,11 @@ def rake(cells: DataFrame, settings: Settings) -> DataFrame:
         state = state.drop(*(f"moved_{m}" for m in MARGINS))
         if moved <= settings.tolerance:
             break
+    else:
+        told = f"margins still off by {moved:.2g} after {settings.sweeps} sweeps: the targets may exclude each other"
+        if settings.strict:
+            raise RuntimeError(told)
+        warnings.warn(told, stacklevel=2)
     return state.select(*MARGINS, "tokens", "weight")
 
 
@@ -117,15 +124,24 @@ def _prefix(columns: list[str]) -> str:
     return prefix
 
 
-def probabilities(docs: DataFrame, settings: Settings, prefix: str = "_mix_") -> DataFrame:
-    """`docs` with its cell, token estimate and `probability`, under prefixed names."""
-    marked = docs.withColumns(
-        {
-            f"{prefix}source": F.coalesce(F.col("source").cast("string"), F.lit(UNKNOWN)),
-            f"{prefix}lang": F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)),
-            f"{prefix}topic": topic_of(),
-            f"{prefix}tokens": token_estimate(),
-        }
+def probabilities(
+    docs: DataFrame, settings: Settings, prefix: str = "_mix_", carried: list[str] | None = None
+) -> DataFrame:
+    """`docs` with its cell, token estimate, `draw` (uniform in [0, 1)) and `probability`, under prefixed names.
+
+    Texts are read once, into a written table of the marked rows; `carried` names the columns of `docs`
+    that are needed further, all unless given.
+    """
+    marks = {
+        f"{prefix}source": F.coalesce(F.col("source").cast("string"), F.lit(UNKNOWN)),
+        f"{prefix}lang": F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)),
+        f"{prefix}topic": topic_of(),
+        f"{prefix}tokens": token_estimate(),
+        f"{prefix}draw": uniform(settings.seed),
+    }
+    kept = docs.columns if carried is None else carried
+    marked = stored(
+        docs.select(*(F.col(f"`{c}`") for c in kept), *(v.alias(c) for c, v in marks.items())), "marked"
     )
     cells = stored(
         marked.groupBy(*(F.col(f"{prefix}{m}").alias(m) for m in MARGINS)).agg(
@@ -148,16 +164,20 @@ def probabilities(docs: DataFrame, settings: Settings, prefix: str = "_mix_") ->
     )
 
 
+def uniform(seed: int) -> Column:
+    """A hash of id and text in [0, 1): the same in every run."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) / F.lit(float(1 << 53))
+
+
 def drawn(seed: int, probability: Column) -> Column:
-    """Whether a document is in the sample: a uniform hash of id and text below the probability."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11)
-    return bits / F.lit(float(1 << 53)) < probability
+    """Whether a document is in the sample."""
+    return uniform(seed) < probability
 
 
 def mix(docs: DataFrame, settings: Settings) -> DataFrame:
     """The drawn documents, with the columns of `docs`."""
     prefix = _prefix(docs.columns)
     odds = probabilities(docs, settings, prefix)
-    return odds.filter(drawn(settings.seed, F.col(f"{prefix}probability"))).select(
+    return odds.filter(F.col(f"{prefix}draw") < F.col(f"{prefix}probability")).select(
         *(F.col(f"`{c}`") for c in docs.columns)
     )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +28,6 @@ from gridledger.llm.common import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-TOKENIZERS = "/opt/tokenizers"
-
 
 def query(name: str, sql: str | None = None):
     def add(build):
@@ -55,13 +53,11 @@ MIXTURE = mixing.Settings(
 @query("op1_mixture")
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its cell, its probability and whether it is drawn."""
-    odds = mixing.probabilities(table(spark, sf_dir, "documents"), MIXTURE)
-    p = F.col("_mix_probability")
+    odds = mixing.probabilities(table(spark, sf_dir, "documents"), MIXTURE, carried=["doc_id"])
     return odds.select(
         "doc_id",
-        *(F.col(f"_mix_{c}").alias(c) for c in ("source", "lang", "topic", "tokens")),
-        p.alias("probability"),
-        mixing.drawn(MIXTURE.seed, p).alias("drawn"),
+        *(F.col(f"_mix_{c}").alias(c) for c in ("source", "lang", "topic", "tokens", "probability")),
+        (F.col("_mix_draw") < F.col("_mix_probability")).alias("drawn"),
     )
 
 
@@ -216,6 +212,19 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.mask(docs, DEMONSTRATION_KEY, count="n_replaced")
 
 
+# Whole UTF-8 characters in hexadecimal text, or else one byte that is no part of any.
+_NEXT = "[89AB][0-9A-F]"
+WHOLE_CHARACTERS = "|".join(
+    [
+        "[0-7][0-9A-F]",
+        f"(?:C[2-9A-F]|D[0-9A-F]){_NEXT}",
+        f"E0[AB][0-9A-F]{_NEXT}",
+        f"(?:E[1-9A-CEF]{_NEXT}|ED[89][0-9A-F]){_NEXT}",
+        f"F0[9AB][0-9A-F]{_NEXT}{_NEXT}",
+        f"(?:F[1-3]{_NEXT}|F48[0-9A-F]){_NEXT}{_NEXT}",
+        "[89A-F][0-9A-F]",
+    ]
+)
 # Hexadecimal text has two letters per byte, so that places in it are byte places.
 REPEATED_BYTES_SQL = """
 WITH d AS (
@@ -238,7 +247,9 @@ WITH d AS (
   FROM d JOIN gaps ON gaps.r = d.r GROUP BY d.r
 )
 SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(cut.n_removed, 0) AS BIGINT) AS n_removed,
-       CAST(coalesce(cut.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(cut.kept, d.h))) AS kept_sha256
+       CAST(coalesce(cut.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(cut.kept, d.h))) AS kept_sha256,
+       decode(unhex(array_to_string(list_filter(regexp_extract_all(coalesce(cut.kept, d.h), '""" + WHOLE_CHARACTERS + """'),
+         lambda x: length(x) > 2 OR x < '8'), ''))) AS text
 FROM d LEFT JOIN cut ON cut.r = d.r
 """
 
@@ -276,8 +287,8 @@ def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), path, limit=512)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), str(path), limit=512)
 
 
 @query("op10_secret_scan")

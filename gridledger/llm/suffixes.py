@@ -256,7 +256,9 @@ def repeated_windows(contexts: DataFrame, settings: Settings) -> DataFrame:
 
 
 def removals(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), text of every row.
+
+    `text` is what is left as text: bytes of characters that a removal cut through are left out there."""
     found = stored(all_runs(docs.select("doc_id", "text"), settings), "runs")
     # One row per distinct run, with how often it occurs and one place of it.
     distinct = stored(
@@ -313,7 +315,7 @@ def removals(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         texts.join(spans, ["row_key", "text_key"], "left").select("doc_id", "packed", "spans"),
         lambda batch: _remove(batch, length),
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, "
-        "n_spans bigint, kept_sha256 string, kept binary",
+        "n_spans bigint, kept_sha256 string, kept binary, text string",
     )
 
 
@@ -341,6 +343,7 @@ def _remove(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
             *(pa.array(c, pa.int64()) for c in (sizes, gone, n_spans)),
             pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
             pa.array(kept, pa.binary()),
+            pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()),
         ],
-        ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+        ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text"],
     )
