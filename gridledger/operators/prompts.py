@@ -97,5 +97,5 @@ def select_metrics_from(
     found = named.join(entries, "wanted").select(key, "ord", "name", "metric")
     first = catalogue.agg(F.min(F.struct("ord", "name", "metric"))).scalar()
     always = prompts.select(key, first.alias("f")).select(key, "f.ord", "f.name", "f.metric")
-    # An empty name is part of every question; the first entry may also be named.
+    # Entries without a name are asked for by no question; the first entry may also be named.
     return found.unionByName(always.filter("ord IS NOT NULL")).distinct()
