@@ -4,10 +4,10 @@ import random
 import pytest
 
 from gridledger.llm import tokens
-from gridledger.llm.queries import TOKENIZERS
+import public_tokenizers
 from tests.llm import cases
 
-PATH = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
+PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
