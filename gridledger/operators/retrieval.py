@@ -153,10 +153,10 @@ SLACK = 1e-9  # far more than the noise of summing a dot product, far less than
 def posting_blocks(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Postings (token, block, key, weight) and blocks (token, block, top, n), ordered by impact.
 
-    A token's texts are cut by levels of weight, each a fourth of an octave, and a level of many texts
+    A token's texts are cut by levels of weight, each an eighth of an octave, and a level of many texts
     by a hash of the key: no block holds much more than `BLOCK_TEXTS`, however frequent the token.
     """
-    leveled = vectors.withColumn("level", F.floor(-4 * F.log2("weight")).cast("int"))
+    leveled = vectors.withColumn("level", F.floor(-8 * F.log2("weight")).cast("int"))
     sizes = leveled.groupBy("token", "level").agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("pieces"))
     postings = leveled.join(sizes, ["token", "level"]).select(
         "token",
@@ -164,17 +164,24 @@ def posting_blocks(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         key,
         "weight",
     )
-    blocks = postings.groupBy("token", "block").agg(F.max("weight").alias("top"), F.count("*").alias("n"))
+    blocks = postings.groupBy("token", "block").agg(
+        F.max("weight").alias("top"), F.min("weight").alias("low"), F.count("*").alias("n")
+    )
     return postings, blocks
 
 
+def _remainder() -> Column:
+    """What unit vectors can add over their other tokens, at the block's least weight."""
+    return F.sqrt((1 - F.col("asked_weight") * F.col("asked_weight")) * (1 - F.col("low") * F.col("low")))
+
+
 def pruned_candidates(
     postings: DataFrame, blocks: DataFrame, asked: DataFrame, k: int, question_key: str, key: str
 ) -> DataFrame:
     """(question, key) pairs that can still be among the `k` best; all others are never scored.
 
-    A floor for each question comes from the postings of its strongest tokens: the k-th best of these
-    partial sums. A token whose strongest weight, together with those of all weaker ones, stays
+    A floor for each question comes from the texts that its strongest tokens find: the k-th best of their
+    scores. A token whose strongest weight, together with those of all weaker ones, stays
     below the floor proposes no texts; of the others only the blocks do from which a text could
     reach the floor if it had the strongest weight of every other token as well.
     """
@@ -185,15 +192,21 @@ def pruned_candidates(
     # Windows cover the tokens of one question.
     strong = terms.filter(F.col("bound") > 0).withColumn(
         "held", F.coalesce(F.sum("texts").over(before), F.lit(0))
-    ).filter(F.col("held") < 8 * k)
+    ).filter(F.col("held") < 16 * k)
     partial = (
         postings.join(strong.select("token", question_key, "asked_weight"), "token")
         .groupBy(question_key, key)
         .agg(F.sum(F.col("weight") * F.col("asked_weight")).alias("dot"))
     )
     best = W.partitionBy(question_key).orderBy(F.desc("dot"))
+    seeds = partial.withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= 8 * k)
     floors = (
-        partial.withColumn("pos", F.row_number().over(best))
+        seeds.select(question_key, key)
+        .join(asked, question_key)
+        .join(postings, [key, "token"])
+        .groupBy(question_key, key)
+        .agg(F.sum(F.col("weight") * F.col("asked_weight")).alias("dot"))
+        .withColumn("pos", F.row_number().over(best))
         .filter(F.col("pos") <= k)
         .groupBy(question_key)
         .agg(F.min("dot").alias("least"), F.count("*").alias("found"))
@@ -201,17 +214,37 @@ def pruned_candidates(
     )
     weaker = W.partitionBy(question_key).orderBy("bound", F.desc("token"))
     whole = W.partitionBy(question_key)
-    essential = (
-        terms.join(floors, question_key)
-        .withColumns({"below": F.sum("bound").over(weaker), "rest": F.sum("bound").over(whole) - F.col("bound")})
-        .filter(F.col("below") >= F.col("floor"))
+    terms = terms.join(floors, question_key).withColumns(
+        {"below": F.sum("bound").over(weaker), "rest": F.sum("bound").over(whole) - F.col("bound")}
+    )
+    proposing = F.col("below") >= F.col("floor")
+    reaches = F.col("asked_weight") * F.col("top") + F.least("rest", _remainder()) >= F.col("floor")
+    looked_at = terms.filter(proposing).join(blocks, "token").withColumn("reaches", reaches)
+    # What a token may add to a text of which no block is read: its strongest block that is left out.
+    left_out = looked_at.groupBy(question_key, "token").agg(
+        F.coalesce(F.max(F.when(~F.col("reaches"), F.col("asked_weight") * F.col("top"))), F.lit(0.0)).alias("unseen")
     )
-    reached = (
-        essential.join(blocks, "token")
-        .filter(F.col("asked_weight") * F.col("top") + F.col("rest") >= F.col("floor"))
-        .select("token", "block", question_key)
+    unread = (
+        left_out.select(question_key, "unseen")
+        .unionByName(terms.filter(~proposing).select(question_key, F.col("bound").alias("unseen")))
+        .groupBy(question_key)
+        .agg(F.sum("unseen").alias("unread"))
+    )
+    read = (
+        looked_at.filter("reaches")
+        .select(question_key, "token", "block", "asked_weight", "floor")
+        .join(left_out, [question_key, "token"])
+        .join(unread, question_key)
+    )
+    # What is known of a text replaces the bounds of its tokens.
+    gain = F.sum(F.col("weight") * F.col("asked_weight") - F.col("unseen"))
+    return (
+        postings.join(read, ["token", "block"])
+        .groupBy(question_key, key)
+        .agg(gain.alias("gain"), F.max("unread").alias("unread"), F.max("floor").alias("floor"))
+        .filter(F.col("gain") + F.col("unread") >= F.col("floor"))
+        .select(question_key, key)
     )
-    return postings.join(reached, ["token", "block"]).select(question_key, key).distinct()
 
 
 def nearest_pruned(

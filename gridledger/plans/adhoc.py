@@ -65,7 +65,7 @@ def check_query(spark: SparkSession, text: str, allowed: Iterable[str]) -> None:
 
 def estimated_bytes(query: DataFrame) -> int:
     """Size of the result as the optimised plan estimates it, from file sizes; nothing is run."""
-    return int(query._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(query._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def run_sql(
