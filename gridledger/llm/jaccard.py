@@ -203,8 +203,8 @@ def probable_links(nodes: DataFrame, settings: Settings) -> DataFrame:
     """Edges u, v that connect each group of candidate pairs.
 
     First every node of a bucket meets only the bucket's least node: as many pairs as nodes, however large
-    the bucket. The groups that this finds are known from then on; only buckets that still hold several of
-    them are searched pair by pair, in blocks, for pairs of different groups, and what leaves
+    the bucket. Nodes that this brings to the same node are one group from then on; only buckets that hold several
+    groups are searched pair by pair, in blocks, for pairs of different groups, and what leaves
     a task are links between groups.
     """
     least = least_matches(settings)
@@ -225,7 +225,10 @@ def probable_links(nodes: DataFrame, settings: Settings) -> DataFrame:
     first = stored(
         map_arrow(starred.select("node", "head", "sketch", "head_sketch"), near_head, "u bigint, v bigint"), "stars"
     )
-    groups = stored(components(first), "star-groups")
+    # The least head of a node, and that one's: near copies of one text come to the same.
+    heads = first.groupBy("u").agg(F.min("v").alias("head"))
+    further = heads.select(F.col("u").alias("head"), F.col("head").alias("root"))
+    groups = heads.join(further, "head", "left").select(F.col("u").alias("node"), F.coalesce("root", "head").alias("root"))
     grouped = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     grouped = stored(grouped, "grouped")
     mixed = grouped.groupBy("key").agg(
