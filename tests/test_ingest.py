@@ -75,6 +75,15 @@ def test_headers(spark, inbox):
     assert "" not in found["NOP_PW_a.csv"]["columns"]
 
 
+def test_quoted_commas_in_headers(spark, tmp_path):
+    header = 'Report_Date,"Note, long","Volume_BL",MKT_VAL_BL,"Remark, ""so"" called"'
+    write(tmp_path, "NOP_PW_q.csv", header, ['06-11-2024,"a, b",7,8,x'])
+    found = feeds.file_headers(spark, str(tmp_path)).first()["columns"]
+    assert found[:4] == ["REPORT_DATE", "NOTE,_LONG", "VOLUME_BL", "MKT_VAL_BL"] and len(found) == 5
+    row = feeds.read_feed_folder(spark, str(tmp_path), PW).first()
+    assert (row["VOLUME_BL"], row["MKT_VAL_BL"]) == ("7", "8")
+
+
 def test_folder_with_different_column_order(spark, inbox):
     rows = feeds.read_feed_folder(spark, str(inbox), PW).collect()
     assert {r["BOOK"] for r in rows if r["file_name"] == "nop_pw_b.CSV"} == {"B1"}
