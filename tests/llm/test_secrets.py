@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -105,3 +108,71 @@ def test_awkward_rows(spark):
     got = secrets.scan(cases.awkward(spark, "n_hex")).collect()
     assert len(got) == 14 and all(r["spans"] == "" for r in got)
     assert secrets.scan(cases.empty(spark)).count() == 0
+
+
+def test_further_places_of_names_and_literals():
+    secret = "q7Zk29LmPx4T"
+    for text in (
+        f'cfg["api_key"] = "{secret}"',
+        f"os.environ['SECRET_KEY'] = '{secret}'",
+        f'cfg["x"] = "{secret}"\nclient.secret = cfg["x"]',
+        f'<add key="DbPassword" value="{secret}"/>',
+        f"<password>{secret}</password>",
+        f"mysql --password {secret} db",
+        f"login --auth-token='{secret}'",
+        f'auth_key = f("{secret}")',
+        f'client.setPassword("{secret}")',
+        f'props.put("db.password", "{secret}")',
+        f's = "{secret}"\nprops.put("db.password", s)',
+        f'auth_key = """{secret}"""',
+        f"auth_key = '''\n  {secret}\n'''",
+    ):
+        assert values(text) == [secret], text
+        assert secret not in secrets.redacted(text, "<secret>"), text
+    for text in (
+        'password = input("Enter-password:")',
+        'secret = os.environ.get("API_TOKEN_V2")',
+        "run --secret authentication now",
+        'f(["password", "username1"])',
+        'get_token("user123abc")',
+        "<token>word</token>",
+        'put("title", "Zx81mQp9Kd7w")',
+    ):
+        assert values(text) == [], text
+
+
+def test_shared_values_equal_copied_ones():
+    """Long chains against a version in which every name holds its literals; both ends of a long value tell placeholders."""
+    rng = random.Random(3)
+    for _ in range(30):
+        lines, held, best = ['v0 = "a7Zk29"'], {"v0": [(6, 12)]}, {}
+        for i in range(1, 60):
+            name = f"{rng.choice(['v', 'token_', 'salt_'])}{i}"
+            one, literal = rng.choice(list(held)), "".join(rng.choices("aB3<>$x", k=rng.randint(1, 6)))
+            start = len("\n".join(lines)) + 1 + len(f'{name} = {one} + "')
+            lines.append(f'{name} = {one} + "{literal}"')
+            held[name] = [*held[one], (start, start + len(literal))]
+            text = "\n".join(lines)
+            weight = secrets.name_weight(name) * plain_weight("".join(text[a:b] for a, b in held[name]))
+            for span in held[name]:
+                best[span] = max(best.get(span, 0.0), weight)
+        expected = sorted(s for s, w in best.items() if w >= secrets.THRESHOLD)
+        assert sorted((a, b) for a, _, b in secrets.lexed_spans("\n".join(lines))) == expected
+
+
+def plain_weight(value):
+    if len(value) < 6 or secrets.PLACEHOLDERS.match(value):
+        return 0.0
+    entropy = -sum(value.count(c) / len(value) * math.log2(value.count(c) / len(value)) for c in set(value))
+    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return min(1.0, 0.25 * min(len(value), 20) / 20 + 0.5 * min(entropy, 4.0) / 4 + 0.125 * (classes - 1))
+
+
+def test_long_texts_take_time_in_proportion():
+    chain = 'k0 = "a7Zk29LmPx"\n' + "".join(f'k{i + 1} = k{i} + "x{i % 10}Z"\n' for i in range(20_000)) + "token = k20000\n"
+    doubled = 'token0 = "a7Zk29LmPx"\n' + "".join(f"token{i + 1} = token{i} + token{i}\n" for i in range(5_000))
+    begin = time.time()
+    assert len(values(chain)) == 20_001 and values(doubled) == ["a7Zk29LmPx"]
+    for text in ("a" * 500_000, "a(" * 100_000, "-a" * 100_000, "('" * 100_000, "<a>" * 100_000, "a=b[" * 50_000):
+        values(text)
+    assert time.time() - begin < 60
