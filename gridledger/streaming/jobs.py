@@ -11,7 +11,7 @@ from gridledger.operators import feedback
 from gridledger.plans import ingest, snapshots
 from gridledger.plans.ingest import Store
 from gridledger.sources import tables
-from gridledger.sources.feeds import CSV_FILES
+from gridledger.sources.feeds import CSV_FILES, plain_name
 from gridledger.specs import PW, FeedSpec
 
 
@@ -22,7 +22,7 @@ def file_stream(spark: SparkSession, uri: str, spec: FeedSpec) -> DataFrame:
         .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("pathGlobFilter", CSV_FILES)
         .load(uri)
-        .select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"))
+        .select("path", plain_name(F.element_at(F.split("path", "/"), -1)).alias("file_name"))
         .filter(route_feed("file_name") == spec.category)
     )
 
@@ -38,7 +38,7 @@ def stream_ingest(
 
     The stream's checkpoint remembers the files seen, which replaces the processed flag. Each file is
     read by its own header, validated, logged and summed up; a replayed batch loads its files
-    again, and their newest version counts.
+    again, and their newest version counts. The pieces of a file have to arrive together.
     """
 
     def load(batch: DataFrame, _: int) -> None:
