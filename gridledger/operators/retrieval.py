@@ -170,9 +170,15 @@ def posting_blocks(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return postings, blocks
 
 
-def _remainder() -> Column:
-    """What unit vectors can add over their other tokens, at the block's least weight."""
-    return F.sqrt((1 - F.col("asked_weight") * F.col("asked_weight")) * (1 - F.col("low") * F.col("low")))
+def _kept(frame: DataFrame, name: str) -> DataFrame:
+    """The frame, written below the shared folder: read several times, and of a size that Spark knows."""
+    spark = frame.sparkSession
+    path = new_table_dir(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+SKIPPED = 0.4  # share of the floor that the tokens of a question which propose no texts may reach together
 
 
 def pruned_candidates(
@@ -181,28 +187,31 @@ def pruned_candidates(
     """(question, key) pairs that can still be among the `k` best; all others are never scored.
 
     A floor for each question comes from the texts that its strongest tokens find: the k-th best of their
-    scores. A token whose strongest weight, together with those of all weaker ones, stays
-    below the floor proposes no texts; of the others only the blocks do from which a text could
-    reach the floor if it had the strongest weight of every other token as well.
+    scores. The question's most frequent tokens are set aside as long as their joint length stays below a share
+    of the floor: vectors are of length one, so a text that shares only those cannot reach it (Cauchy-Schwarz).
+    What the other tokens add to a text is summed; those set aside can add at most their length times the
+    length that the text has left.
+
+    Terms and seeds are written, so that they meet the postings in place while they are few.
     """
     tops = blocks.groupBy("token").agg(F.max("top").alias("most"), F.sum("n").alias("texts"))
-    terms = asked.join(tops, "token").withColumn("bound", F.col("asked_weight") * F.col("most"))
-    by_bound = W.partitionBy(question_key).orderBy(F.desc("bound"), "token")
-    before = by_bound.rowsBetween(W.unboundedPreceding, -1)
+    terms = _kept(
+        asked.join(tops, "token").withColumn("bound", F.col("asked_weight") * F.col("most")), "terms"
+    )
+    before = W.partitionBy(question_key).orderBy(F.desc("bound"), "token").rowsBetween(W.unboundedPreceding, -1)
     # Windows cover the tokens of one question.
     strong = terms.filter(F.col("bound") > 0).withColumn(
         "held", F.coalesce(F.sum("texts").over(before), F.lit(0))
     ).filter(F.col("held") < 16 * k)
     partial = (
-        postings.join(strong.select("token", question_key, "asked_weight"), "token")
+        postings.join(_kept(strong.select("token", question_key, "asked_weight"), "strong"), "token")
         .groupBy(question_key, key)
         .agg(F.sum(F.col("weight") * F.col("asked_weight")).alias("dot"))
     )
     best = W.partitionBy(question_key).orderBy(F.desc("dot"))
     seeds = partial.withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= 8 * k)
     floors = (
-        seeds.select(question_key, key)
-        .join(asked, question_key)
+        _kept(seeds.select(question_key, key).join(asked, question_key), "seeds")
         .join(postings, [key, "token"])
         .groupBy(question_key, key)
         .agg(F.sum(F.col("weight") * F.col("asked_weight")).alias("dot"))
@@ -212,37 +221,24 @@ def pruned_candidates(
         .agg(F.min("dot").alias("least"), F.count("*").alias("found"))
         .select(question_key, F.when(F.col("found") == k, F.col("least") - SLACK).otherwise(F.lit(0.0)).alias("floor"))
     )
-    weaker = W.partitionBy(question_key).orderBy("bound", F.desc("token"))
-    whole = W.partitionBy(question_key)
-    terms = terms.join(floors, question_key).withColumns(
-        {"below": F.sum("bound").over(weaker), "rest": F.sum("bound").over(whole) - F.col("bound")}
-    )
-    proposing = F.col("below") >= F.col("floor")
-    reaches = F.col("asked_weight") * F.col("top") + F.least("rest", _remainder()) >= F.col("floor")
-    looked_at = terms.filter(proposing).join(blocks, "token").withColumn("reaches", reaches)
-    # What a token may add to a text of which no block is read: its strongest block that is left out.
-    left_out = looked_at.groupBy(question_key, "token").agg(
-        F.coalesce(F.max(F.when(~F.col("reaches"), F.col("asked_weight") * F.col("top"))), F.lit(0.0)).alias("unseen")
-    )
-    unread = (
-        left_out.select(question_key, "unseen")
-        .unionByName(terms.filter(~proposing).select(question_key, F.col("bound").alias("unseen")))
-        .groupBy(question_key)
-        .agg(F.sum("unseen").alias("unread"))
-    )
-    read = (
-        looked_at.filter("reaches")
-        .select(question_key, "token", "block", "asked_weight", "floor")
-        .join(left_out, [question_key, "token"])
-        .join(unread, question_key)
+    often_first = W.partitionBy(question_key).orderBy(F.desc("texts"), "token")
+    length = F.sqrt(F.sum(F.col("asked_weight") * F.col("asked_weight")).over(often_first))
+    split = terms.join(floors, question_key).withColumn("length", length).withColumn(
+        "aside", F.when(F.col("length") < SKIPPED * F.col("floor"), F.col("length")).otherwise(F.lit(0.0))
+    ).withColumn("left", F.max("aside").over(W.partitionBy(question_key)))
+    read = _kept(
+        split.filter("aside = 0").select(question_key, "token", "asked_weight", "floor", "left"), "read"
     )
-    # What is known of a text replaces the bounds of its tokens.
-    gain = F.sum(F.col("weight") * F.col("asked_weight") - F.col("unseen"))
+    weight = F.col("weight")
+    reach = F.col("dot") + F.col("left") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("square")))
     return (
-        postings.join(read, ["token", "block"])
+        postings.join(read, "token")
         .groupBy(question_key, key)
-        .agg(gain.alias("gain"), F.max("unread").alias("unread"), F.max("floor").alias("floor"))
-        .filter(F.col("gain") + F.col("unread") >= F.col("floor"))
+        .agg(
+            F.sum(weight * F.col("asked_weight")).alias("dot"), F.sum(weight * weight).alias("square"),
+            F.max("left").alias("left"), F.max("floor").alias("floor"),
+        )
+        .filter(reach >= F.col("floor"))
         .select(question_key, key)
     )
 
@@ -258,26 +254,22 @@ def nearest_pruned(
 ) -> DataFrame:
     """The rows of `nearest`, without scoring pairs that cannot be among the `k` best.
 
-    Vectors, postings and candidates are written below the shared folder, as each is read several times.
+    Vectors, postings and candidates are written below the shared folder, as each is read several times. Only
+    tokens that are asked for are kept of the vectors, and postings lie by text: what a text adds up to is
+    summed before it is shuffled.
     """
-    spark = docs.sparkSession
-
-    def kept(frame: DataFrame, name: str) -> DataFrame:
-        path = new_table_dir(spark, name)
-        frame.write.parquet(path)
-        return spark.read.schema(frame.schema).parquet(path)
-
     counts = term_counts(docs, key, text)
-    idf = kept(inverse_frequencies(counts, docs, text), "idf")
-    vectors = kept(_unit_vectors(counts, idf, key), "vectors")
-    asked = kept(
+    idf = _kept(inverse_frequencies(counts, docs, text), "idf")
+    asked = _kept(
         _unit_vectors(term_counts(questions, question_key, question_text), idf, question_key)
         .withColumnRenamed("weight", "asked_weight"),
         "asked",
     )
+    wanted = _kept(asked.select("token").distinct(), "wanted")
+    vectors = _kept(_unit_vectors(counts, idf, key).join(wanted, "token", "left_semi"), "vectors")
     postings, blocks = posting_blocks(vectors, key)
-    postings, blocks = kept(postings, "postings"), kept(blocks, "blocks")
-    pairs = kept(pruned_candidates(postings, blocks, asked, k, question_key, key), "pairs")
+    postings, blocks = _kept(postings.repartition(key), "postings"), _kept(blocks, "blocks")
+    pairs = _kept(pruned_candidates(postings, blocks, asked, k, question_key, key), "pairs")
     scored = (
         pairs.join(asked, question_key)
         .join(vectors, [key, "token"])

@@ -69,3 +69,21 @@ def test_no_texts_or_questions(spark):
     docs, asked = corpus(spark, 20)
     assert retrieval.nearest_pruned(asked.limit(0), docs).count() == 0
     assert retrieval.nearest_pruned(asked, docs.limit(0)).count() == 0
+
+
+def test_few_pairs_are_scored_and_asked_tokens_kept(spark, monkeypatch):
+    docs, asked = corpus(spark, 1500)
+    written = {}
+    keep = retrieval._kept
+
+    def counted(frame, name):
+        out = keep(frame, name)
+        written[name] = out
+        return out
+
+    monkeypatch.setattr(retrieval, "_kept", counted)
+    retrieval.nearest_pruned(asked, docs)
+    every = 30 * docs.count()
+    assert written["pairs"].count() < 0.3 * every, (written["pairs"].count(), every)
+    stray = written["vectors"].join(written["asked"], "token", "left_anti")
+    assert written["vectors"].count() > 0 and stray.count() == 0
