@@ -63,6 +63,27 @@ def tfidf(docs: DataFrame, key: str = "id", text: str = "query") -> DataFrame:
     return _unit_vectors(counts, inverse_frequencies(counts, docs, text), key)
 
 
+def _kept(frame: DataFrame, name: str) -> DataFrame:
+    """The frame, written below the shared folder: read several times, and of a size that Spark knows."""
+    spark = frame.sparkSession
+    path = new_table_dir(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def _vectors_and_asked(
+    questions: DataFrame, docs: DataFrame, question_key: str, question_text: str, key: str, text: str
+) -> tuple[DataFrame, DataFrame]:
+    """Vectors of the texts, and those of the questions (question, token, asked_weight), written.
+
+    Frequencies are written as well: both sides need them, and as a plan they would be worked out twice.
+    """
+    counts = term_counts(docs, key, text)
+    idf = _kept(inverse_frequencies(counts, docs, text), "idf")
+    asked = _unit_vectors(term_counts(questions, question_key, question_text), idf, question_key)
+    return _unit_vectors(counts, idf, key), _kept(asked.withColumnRenamed("weight", "asked_weight"), "asked")
+
+
 def nearest(
     questions: DataFrame,
     docs: DataFrame,
@@ -75,19 +96,13 @@ def nearest(
     """The `k` texts nearest to each question by squared distance: (question, rank, key, distance).
 
     Unit vectors give distance = 2 - 2 * dot. Dot products are built from shared tokens only.
-    The text vectors are laid out by text, and each text meets the question tokens in place,
-    so scores are complete without another shuffle and every task keeps its own best `k`.
+    The text vectors are laid out by text, and each text meets the question tokens in place while
+    these are few, so scores are complete without another shuffle and every task keeps its own best `k`.
     A text without any token has distance 1 and one without a shared token 2; only the first
     few of each can rank, and just those are added. A question without a known token has no
     nearest text. Ties go to the lower key.
     """
-    counts = term_counts(docs, key, text)
-    idf = inverse_frequencies(counts, docs, text)
-    vectors = _unit_vectors(counts, idf, key)
-    asked = _unit_vectors(
-        term_counts(questions, question_key, question_text), idf, question_key
-    ).withColumnRenamed("weight", "asked_weight")
-
+    vectors, asked = _vectors_and_asked(questions, docs, question_key, question_text, key, text)
     scored = (
         vectors.join(asked, "token")
         .groupBy(key, question_key)
@@ -170,14 +185,6 @@ def posting_blocks(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return postings, blocks
 
 
-def _kept(frame: DataFrame, name: str) -> DataFrame:
-    """The frame, written below the shared folder: read several times, and of a size that Spark knows."""
-    spark = frame.sparkSession
-    path = new_table_dir(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 SKIPPED = 0.4  # share of the floor that the tokens of a question which propose no texts may reach together
 
 
@@ -258,15 +265,9 @@ def nearest_pruned(
     tokens that are asked for are kept of the vectors, and postings lie by text: what a text adds up to is
     summed before it is shuffled.
     """
-    counts = term_counts(docs, key, text)
-    idf = _kept(inverse_frequencies(counts, docs, text), "idf")
-    asked = _kept(
-        _unit_vectors(term_counts(questions, question_key, question_text), idf, question_key)
-        .withColumnRenamed("weight", "asked_weight"),
-        "asked",
-    )
+    vectors, asked = _vectors_and_asked(questions, docs, question_key, question_text, key, text)
     wanted = _kept(asked.select("token").distinct(), "wanted")
-    vectors = _kept(_unit_vectors(counts, idf, key).join(wanted, "token", "left_semi"), "vectors")
+    vectors = _kept(vectors.join(wanted, "token", "left_semi"), "vectors")
     postings, blocks = posting_blocks(vectors, key)
     postings, blocks = _kept(postings.repartition(key), "postings"), _kept(blocks, "blocks")
     pairs = _kept(pruned_candidates(postings, blocks, asked, k, question_key, key), "pairs")

@@ -76,3 +76,16 @@ def test_insights_filter_after_ranking(spark):
     questions = spark.createDataFrame([(1, "volume of book")], "question_id bigint, question string")
     got = retrieval.feedback_insights(questions, logs, 2).collect()
     assert [r["insight"] for r in got] == ["Previous issue: volume of book A1 - wrong unit"]
+
+
+def test_texts_meet_questions_in_place(spark):
+    docs = spark.createDataFrame([(i, f"book {i} volume {i % 7}") for i in range(50)], "id bigint, query string")
+    questions = spark.createDataFrame(QUESTIONS, "question_id bigint, question string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = retrieval.nearest(questions, docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # Neither vectors nor scores are dealt by token or by pair.
+    assert "Exchange hashpartitioning(token" not in plan
+    assert "Exchange hashpartitioning(id#" in plan and "hashpartitioning(id, question_id" not in plan
