@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridledger import specs
@@ -135,10 +136,12 @@ def select_metrics_from(spark, sf):
     part = star.table(spark, sf, "part").select(
         F.col("p_partkey").cast("int").alias("ord"), F.col("p_name").alias("name"), F.col("p_type").alias("metric")
     )
-    kinds = star.table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").collect()
-    more = [(0, "open_position", "NOP"), (-1, "first one", "FIRST")]
-    more += [(-3 - i, r[0][:2], r[0]) for i, r in enumerate(kinds)]
-    catalogue = part.unionByName(spark.createDataFrame(more, "ord int, name string, metric string"))
+    place = F.row_number().over(W.orderBy(F.asc_nulls_last("event_type")))
+    kinds = star.table(spark, sf, "events").select("event_type").distinct().select(
+        (-2 - place).alias("ord"), F.left("event_type", F.lit(2)).alias("name"), F.col("event_type").alias("metric")
+    )
+    more = F.expr("inline(array(struct(0, 'open_position', 'NOP'), struct(-1, 'first one', 'FIRST')))")
+    catalogue = part.unionByName(kinds).unionByName(spark.range(1).select(more.alias("ord", "name", "metric")))
     docs = star.table(spark, sf, "documents").select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt"))
     return prompts.select_metrics_from(docs, catalogue, "prompt_id")
 
