@@ -39,12 +39,19 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def _inverse(df: Column, docs: DataFrame, text: str) -> Column:
+    """idf = ln((1 + n) / (1 + df)) + 1."""
+    n_docs = _not_blank(docs, text).agg(F.count("*")).scalar()
+    return F.log((1 + n_docs) / (1 + df)) + 1
+
+
+def _document_frequencies(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("token").agg(F.count("*").alias("df"))
+
+
 def inverse_frequencies(counts: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(token, idf) with idf = ln((1 + n) / (1 + df)) + 1."""
-    n_docs = _not_blank(docs, text).agg(F.count("*")).scalar()
-    return counts.groupBy("token").agg(F.count("*").alias("df")).select(
-        "token", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")
-    )
+    return _document_frequencies(counts).select("token", _inverse(F.col("df"), docs, text).alias("idf"))
 
 
 def _unit_vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
@@ -57,10 +64,38 @@ def _unit_vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return weighted.select(key, "token", (F.col("raw") / norm).alias("weight"))
 
 
-def tfidf(docs: DataFrame, key: str = "id", text: str = "query") -> DataFrame:
-    """Sparse unit vectors (key, token, weight) of all non-blank texts."""
-    counts = term_counts(docs, key, text)
-    return _unit_vectors(counts, inverse_frequencies(counts, docs, text), key)
+OFTEN = 1 << 22  # tokens at most whose frequencies go to every task; by far fewer in running text
+
+
+def tfidf(docs: DataFrame, key: str = "id", text: str = "query", often: int = OFTEN) -> DataFrame:
+    """Sparse unit vectors (key, token, weight) of all non-blank texts.
+
+    Frequent tokens make up most counts, and their frequencies are few enough to go to every task: those
+    counts stay with their text. Only counts of other tokens are moved, to the rest of their token, which
+    is a small share of all, and back to the text.
+    """
+    # Within a struct a missing key equals another one, as in a grouping.
+    counts = term_counts(docs.select(F.struct(key).alias("of"), text), "of", text)
+    # Three characters and more for each counted token bound the tokens that are as frequent as this.
+    room = docs.agg(F.sum(F.length(text) + 1) / 3).scalar()
+    most = _kept(_document_frequencies(counts).filter(F.col("df") * often >= room), "often")
+
+    def entries(weighted: DataFrame, name: str) -> DataFrame:
+        raw = F.col("tf") * _inverse(F.col("df"), docs, text)
+        entry = F.when(F.col("df").isNotNull(), F.struct("token", raw.alias("raw"))).alias("entry")
+        # Rows without a frequency leave nulls, which lists and sums pass over.
+        return weighted.select("of", entry).groupBy("of").agg(
+            F.collect_list("entry").alias(name),
+            F.coalesce(F.sum(F.col("entry.raw") * F.col("entry.raw")), F.lit(0.0)).alias(f"{name}_squares"),
+        )
+
+    rest = counts.join(most, "token", "left_anti").withColumn("df", F.count("*").over(W.partitionBy("token")))
+    whole = entries(counts.join(most, "token", "left"), "near").join(entries(rest, "far"), "of", "left")
+    length = F.sqrt(F.col("near_squares") + F.coalesce("far_squares", F.lit(0.0)))
+    both = F.when(F.col("far").isNull(), F.col("near")).otherwise(F.concat("near", "far"))
+    return whole.select("of", length.alias("length"), F.explode(both).alias("entry")).select(
+        F.col("of")[key].alias(key), "entry.token", (F.col("entry.raw") / F.col("length")).alias("weight")
+    )
 
 
 def _kept(frame: DataFrame, name: str) -> DataFrame:

@@ -89,3 +89,18 @@ def test_texts_meet_questions_in_place(spark):
     # Neither vectors nor scores are dealt by token or by pair.
     assert "Exchange hashpartitioning(token" not in plan
     assert "Exchange hashpartitioning(id#" in plan and "hashpartitioning(id, question_id" not in plan
+
+
+def test_vectors_keep_frequent_counts_with_their_text(spark):
+    rows = [(None, "red red one"), (None, "blue two"), (1, "red three"), (1, "red blue"), (2, "  "), (3, None)]
+    rows += [(10 + i, f"red blue green w{i} w{i // 2}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "id long, query string")
+    counts = retrieval.term_counts(docs, "id", "query")
+    plain = retrieval._unit_vectors(counts, retrieval.inverse_frequencies(counts, docs, "query"), "id")
+    wanted = sorted((str(r[0]), r[1], round(r[2], 9)) for r in plain.collect())
+    for often in (0, 50, 10_000):  # no token, the frequent ones, all of them
+        got = sorted((str(r[0]), r[1], round(r[2], 9)) for r in retrieval.tfidf(docs, often=often).collect())
+        assert got == wanted
+    # Counts of frequent tokens are not moved: nothing is dealt out by token but what they leave.
+    plan = retrieval.tfidf(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan
