@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from gridledger.llm.common import in_small_batches, map_arrow, mix64, stored, st
 WORD = re.compile(r"[^\W_]+")
 CODE = 4  # output bytes per input byte of a window
 LADDER = (1, 3, 6, 9, 12, 16)  # thresholds on the difference of lengths
-CACHED = 300_000  # windows whose differences a worker remembers
+CACHED = 600_000  # windows whose differences a worker remembers
 MAX_WORD = 64  # characters of a window; a longer word is cut into several
 
 
@@ -66,17 +67,20 @@ def window(word: str) -> bytes:
 def words(text: str) -> list[str]:
     """The windows of a text: its lower-cased words."""
     found = WORD.findall(text.lower())
-    if any(len(w) > MAX_WORD for w in found):
+    if found and len(max(found, key=len)) > MAX_WORD:
         found = [w[i : i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
     return found
 
 
-class Scorer:
-    """Differences of compressed lengths under an ordinary and a toxic dictionary."""
+class Scorer(dict):
+    """Differences of compressed lengths under an ordinary and a toxic dictionary, by word.
+
+    A known word is looked up as in any dict, without a call of Python code; `__missing__` compresses.
+    """
 
     def __init__(self, toxic: bytes, ordinary: bytes, level: int):
+        super().__init__()
         self.pair = [self._compressor(d, level) for d in (ordinary, toxic)]
-        self.known: dict[str, int] = {}
 
     @staticmethod
     def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -89,19 +93,20 @@ class Scorer:
         )
         return zstandard.ZstdCompressor(dict_data=made, compression_params=settings)
 
-    def difference(self, word: str) -> int:
-        value = self.known.get(word)
-        if value is None:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            coded = window(word)
-            ordinary, toxic = (len(c.compress(coded)) for c in self.pair)
-            value = self.known[word] = ordinary - toxic
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHED:
+            self.clear()
+        coded = window(word)
+        ordinary, toxic = (len(c.compress(coded)) for c in self.pair)
+        value = self[word] = ordinary - toxic
         return value
 
+    def difference(self, word: str) -> int:
+        return self[word]
+
     def features(self, text: str) -> list[float]:
         found = words(text)
-        gains = np.fromiter(map(self.difference, found), np.int64, len(found))
+        gains = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
         n = max(1, len(found))
         row = []
         for step in LADDER:
@@ -111,6 +116,12 @@ class Scorer:
         return [*row, float(max(0, gains.max(initial=0)))]
 
 
+@lru_cache(maxsize=2)
+def scorer_of(toxic: bytes, ordinary: bytes, level: int) -> Scorer:
+    """The scorer of two dictionaries; the tasks of a worker share it and what it has met."""
+    return Scorer(toxic, ordinary, level)
+
+
 def logistic(rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ridge logistic regression by Newton steps: centre, scale, weights (the last is constant)."""
     centre, scale = rows.mean(0), rows.std(0)
@@ -136,15 +147,9 @@ class Model:
     centre: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
-    _scorer: Scorer | None = field(default=None, repr=False)
 
     def scorer(self) -> Scorer:
-        if self._scorer is None:
-            self._scorer = Scorer(self.toxic, self.ordinary, self.level)
-        return self._scorer
-
-    def __getstate__(self):
-        return {**self.__dict__, "_scorer": None}
+        return scorer_of(self.toxic, self.ordinary, self.level)
 
     def score(self, text: str) -> float:
         row = (np.array(self.scorer().features(text)) - self.centre) / self.scale

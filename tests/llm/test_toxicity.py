@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import pytest
@@ -90,3 +91,11 @@ def test_awkward_rows(spark, model):
     assert toxicity.train(docs, one_kind) is None
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.reject(docs, None).count() == 14
+
+
+def test_tasks_of_a_worker_share_what_was_compressed(model):
+    """A model that reaches a worker twice, as with two tasks, compresses a word once."""
+    first, second = (pickle.loads(pickle.dumps(model)) for _ in range(2))
+    score = first.score("a wordseenonlyhere")
+    assert "wordseenonlyhere" in second.scorer()
+    assert second.score("a wordseenonlyhere") == score
