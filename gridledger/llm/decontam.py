@@ -99,6 +99,9 @@ def queries(rows: list, settings: Settings) -> list[tuple]:
     return out
 
 
+TAKEN = 1 << 16  # values taken from a table at once
+
+
 class Passages:
     """Sparse TF-IDF rows of the passages of some texts, for a model."""
 
@@ -127,8 +130,11 @@ class Passages:
         outside = term < 0
         length2 = np.bincount(passage[outside], weight[outside] ** 2, minlength=int(self.first[-1]))
         # Repeated terms of a passage add up.
-        key, back = np.unique(passage[~outside] * np.int64(len(model.terms)) + term[~outside], return_inverse=True)
-        value = np.bincount(back, weight[~outside], minlength=len(key))
+        key = np.sort(passage[~outside] * np.int64(len(model.terms)) + term[~outside])
+        edge = np.flatnonzero(np.diff(key, prepend=-1))
+        times = np.diff(edge, append=len(key))
+        key = key[edge]
+        value = model.idf[key % len(model.terms)] * times
         self.held, self.n_terms = key, len(model.terms)
         key, value = key[value > 0], value[value > 0]
         self.passage, self.term = key // len(model.terms), key % len(model.terms)
@@ -148,10 +154,21 @@ class Passages:
     def project(self, space: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Rows of the wanted passages times `space`."""
         out = np.zeros((len(wanted), space.shape[1]), space.dtype)
-        pick = np.searchsorted(self.passage, wanted), np.searchsorted(self.passage, wanted, side="right")
-        for i, (a, b) in enumerate(zip(*pick)):
-            if b > a:
-                out[i] = self.value[a:b].astype(space.dtype) @ space[self.term[a:b]]
+        first = np.searchsorted(self.passage, wanted)
+        size = np.searchsorted(self.passage, wanted, side="right") - first
+        # Passages of as many terms are multiplied together, in slices that bound the rows taken from `space`.
+        order = np.argsort(size, kind="stable")
+        ends = np.flatnonzero(np.diff(size[order], append=-1)) + 1
+        begin = int((size == 0).sum())
+        for end in ends[ends > begin].tolist():
+            n = int(size[order[begin]])
+            step = max(1, TAKEN // (n * max(1, space.shape[1])))
+            for a in range(begin, end, step):
+                some = order[a : min(a + step, end)]
+                at = first[some][:, None] + np.arange(n)
+                value = self.value[at].astype(space.dtype)
+                out[some] = np.matmul(value[:, None, :], space.take(self.term[at], axis=0))[:, 0]
+            begin = end
         return out
 
 

@@ -146,3 +146,39 @@ def test_copies_are_found_whatever_the_words_weigh(spark):
     for shift in range(40):
         text = cases.prose(54, 60 + shift) + " " + rare + " " + cases.prose(55, 80)
         assert [hit[:2] for hit in finder.find([text.lower().encode()])] == [(0, 2)]
+
+
+def test_passages_are_multiplied_together():
+    """Rows times a table, few calls for many passages, some without any known word."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(vocabulary, n)).encode() for n in rng.integers(0, 300, 80)] + [b"else where", b""]
+    terms = np.unique(np.concatenate([decontam._hashes(" ".join(vocabulary[:40]))]))
+    model = decontam.Model(decontam.Settings(), terms, [], rng.random(len(terms)) + 0.1)
+    rows = decontam.Passages(texts, model)
+    dense = np.zeros((int(rows.first[-1]), len(terms)))
+    dense[rows.passage, rows.term] = rows.value
+    table = Counted.of(rng.standard_normal((len(terms), 7)))
+    wanted = rng.permutation(len(dense))
+    assert np.allclose(rows.project(table, np.sort(wanted)), dense[np.sort(wanted)] @ np.asarray(table))
+    assert Counted.calls < len(dense) / 2
+    lengths = np.sqrt((dense**2).sum(1))
+    assert np.allclose(lengths, rows.share)
+
+
+class Counted(np.ndarray):
+    """A table that counts how often rows are taken from it."""
+
+    calls = 0
+
+    @classmethod
+    def of(cls, values):
+        return values.view(cls)
+
+    def take(self, *args, **kwargs):
+        Counted.calls += 1
+        return np.asarray(self).take(*args, **kwargs)
+
+    def __getitem__(self, at):
+        Counted.calls += 1
+        return np.asarray(self)[at]
