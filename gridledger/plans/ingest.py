@@ -132,8 +132,9 @@ def finish_load(
         stats.stats_documents(file_statistics(loaded, spec, newest)), store.path("file_stats")
     )
     drop_folder(spark, staging)
-    states = stats.statistics_states(quality.coerce_measures(loaded, spec), spec, ("file_name",))
-    tables.append_statistics(states, spec.category, load_id, store.path("statistics"))
+    for part in tables.date_slices(loaded, positions):
+        states = stats.statistics_states(quality.coerce_measures(part, spec), spec, ("file_name",))
+        tables.append_statistics(states, spec.category, load_id, store.path("statistics"))
     log = store.path("data_files")
     tables.log_ingest(loaded, spec.category, log)
     done = loaded.select("file_name").distinct()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gridledger import session
 from gridledger.operators import quality, stats
-from gridledger.plans.ingest import Store, ingest_folder, load_files
+from gridledger.plans.ingest import Store, finish_load, ingest_folder, load_files
 from gridledger.sources import feeds, star, tables
 from gridledger.specs import PW
 
@@ -78,14 +78,45 @@ def test_slices_load_the_same(spark, tmp_path, inbox, monkeypatch):
 
     whole = loaded("whole")
     assert [len(x) for x in whole] == [4, 19, 9]
-    monkeypatch.setattr(session, "SLICE_BYTES", 200)
+    monkeypatch.setattr(feeds, "n_slices", lambda _: 4)
     headers = feeds.file_headers(spark, inbox)
-    parts = feeds.file_slices(headers)
-    assert len(parts) > 3
-    assert sum(p.count() for p in parts) == headers.count() == 10
+    assert sum(p.count() for p in feeds.file_slices(headers)) == headers.count() == 10
     assert loaded("sliced") == whole
 
 
+def test_slices_of_dates_give_the_same_states(spark, tmp_path, monkeypatch):
+    rows = spark.range(0, 200, 1, 4).select(
+        F.concat(F.lit("NOP_PW_"), F.col("id") % 2, F.lit(".csv")).alias("file_name"),
+        F.when(F.col("id") % 9 > 0, F.expr("date'2024-11-01' + CAST(id % 5 AS INT)")).alias("REPORT_DATE"),
+        *[F.concat(F.lit(c), F.col("id") % 3).alias(c) for c in ("BOOK", "SEGMENT", "TGROUP1", "BOOK_ATTR8", "BUCKET", "HORIZON")],
+        *[F.col("id").cast("double").alias(m) for m in PW.measures],
+    )
+
+    def made(name):
+        store = Store(str(tmp_path / name))
+        path = store.path("positions")
+        tables.append_raw(rows, "PW", path, "1")
+        finish_load(spark, rows.select("file_name"), PW, store, "1")
+        live = tables.live_versions(spark, path)
+        frames = (
+            tables.read_states(spark, store.path("snapshot_parts"), "file_name", "load_id"),
+            tables.read_snapshots(spark, store.path("snapshots"), "PW"),
+            tables.read_statistics(spark, store.path("statistics"), PW, live),
+            spark.read.parquet(store.path("file_stats")),
+        )
+        return [sorted(map(str, f.collect())) for f in frames]
+
+    whole = made("whole")
+    assert all(whole)
+    seen = []
+    one = tables.date_slices
+    monkeypatch.setattr(tables, "n_slices", lambda _: 3)
+    monkeypatch.setattr(tables, "date_slices", lambda *a: [x for x in one(*a) if not seen.append(x)])
+    assert made("sliced") == whole
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(seen) == 6 and "PartitionFilters: [" in plan and "xxhash64(REPORT_DATE" in plan.split("PartitionFilters: [")[1].split("\n")[0]
+
+
 def test_a_junk_cell_rejects_its_file_in_every_slice(spark, tmp_path, inbox):
     headers = feeds.file_headers(spark, inbox)
     rows = feeds.read_by_header(headers, PW)
